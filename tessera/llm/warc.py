@@ -19,6 +19,7 @@ no pages give no archive and no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 
 
 def _digest(data: bytes) -> str:
@@ -75,7 +77,7 @@ class Damaged(ValueError):
 
 def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; raises Damaged."""
-    if data[at : at + len(_VERSION)] != _VERSION:
+    if not _LINE.match(data, at):
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
     if stop < 0:
