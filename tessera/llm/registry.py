@@ -24,4 +24,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL}
+    return {
+        "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op3_warc": warc.ORACLE_SQL,
+        "op5_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+        "op9_decontamination": decontaminate.ORACLE_SQL,
+    }

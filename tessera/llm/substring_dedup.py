@@ -206,3 +206,17 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Windows are compared by the 128-bit md5 of their words.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+windows AS (SELECT r, doc_id, s, md5_number(array_to_string(w[s:s + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+least AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+bad AS (SELECT r, s FROM windows JOIN least USING (h) WHERE doc_id > first),
+marked AS (SELECT words.r, p, word, max(s) OVER (PARTITION BY words.r ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+           FROM words LEFT JOIN bad ON words.r = bad.r AND words.p = bad.s),
+cut AS (SELECT r, count_if(gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""

@@ -294,3 +294,18 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Hexadecimal texts are cut into blocks of 100 bytes, so that taking a window never walks a long text.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (SELECT r, doc_id, j, substring(x, 200 * j + 1, 400) AS y FROM (SELECT r, doc_id, x, unnest(range(0, (len(x) + 199) // 200)) AS j FROM d)),
+bytes AS (SELECT r, doc_id, 100 * j + k AS p, substring(y, 2 * k + 1, 2) AS byte, CASE WHEN len(y) >= 2 * k + 200 THEN md5_number(substring(y, 2 * k + 1, 200)) END AS h
+          FROM (SELECT r, doc_id, j, y, unnest(range(0, least(100, len(y) // 2))) AS k FROM blocks)),
+least AS (SELECT h, min((doc_id, p)) AS first FROM bytes WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, p, byte, CASE WHEN (doc_id, p) > first THEN p END AS s FROM bytes LEFT JOIN least ON bytes.h = least.h),
+marked AS (SELECT r, p, byte, max(s) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM starts),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM marked),
+cut AS (SELECT r, count_if(gone) AS n, count_if(opens) AS spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edges GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
