@@ -147,3 +147,36 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
 def query(spark, sf_dir: str) -> DataFrame:
     found = licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.drop(KEY).withColumnRenamed(ID, "doc_id")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the query's rows; templates and postings are written into it."""
+    lit = lambda s: f"'{s}'"
+    templates = ", ".join(f"({t}, {lit(name)}, {_phrase(n)}, {_phrase(k)}, {_key_place(n, k)})" for t, (name, (n, k)) in enumerate(sorted(TEMPLATES.items())))
+    posted = ", ".join(f"({lit(w)}, {t}, {i})" for w, t, i in postings())
+    index = ", ".join(f"({lit(w)})" for w in index_words())
+    base = ", ".join(f"({lit(label)}, {_phrase(p)})" for p, label in BASE.items())
+    return rf"""
+WITH templates(template, name, notice, key, place) AS (VALUES {templates}),
+postings(word, template, pos) AS (VALUES {posted}),
+index_words(word) AS (VALUES {index}),
+phrases(label, phrase) AS (VALUES {base}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
+hits AS (SELECT r, i, word FROM words JOIN index_words USING (word)),
+rarity AS (SELECT word, row_number() OVER (ORDER BY count(DISTINCT r), word) AS nth FROM index_words LEFT JOIN hits USING (word) GROUP BY word),
+chosen AS (SELECT r, word FROM (SELECT DISTINCT r, word, nth FROM hits JOIN rarity USING (word)) QUALIFY row_number() OVER (PARTITION BY r ORDER BY nth) <= {RARE}),
+spots AS (SELECT r, template, i - pos AS pos, count(DISTINCT word) AS n FROM hits SEMI JOIN chosen USING (r, word) JOIN postings USING (word) GROUP BY ALL),
+needed AS (SELECT r, template, count(DISTINCT word) AS needed FROM chosen JOIN postings USING (word) GROUP BY ALL),
+placed AS (SELECT r, name, pos, notice, w FROM spots JOIN needed USING (r, template) JOIN templates USING (template) JOIN d USING (r)
+           WHERE n >= least(needed, 2) AND pos + place >= 0 AND w[pos + place + 1:pos + place + len(key)] = key),
+part AS (SELECT r, name, pos, count_if(pos + k >= 0 AND w[pos + k + 1] = notice[k + 1]) / len(notice) AS part
+         FROM (SELECT *, unnest(range(0, len(notice))) AS k FROM placed) GROUP BY r, name, pos, notice),
+method AS (SELECT r, max(part) AS part FROM part GROUP BY r),
+places AS (SELECT r, label, i FROM words JOIN phrases ON word = phrase[1] JOIN d USING (r) WHERE w[i + 1:i + len(phrase)] = phrase),
+base AS (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
+every AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, name FROM part) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, greatest(coalesce(part, 0.0), CASE WHEN n > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN method USING (r)
+"""

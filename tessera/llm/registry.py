@@ -27,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE_SQL,
         "op3_warc": warc.ORACLE_SQL,
+        "op4_licence_scans": licences.oracle_sql(),
         "op5_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
         "op9_decontamination": decontaminate.ORACLE_SQL,
     }

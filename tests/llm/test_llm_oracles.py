@@ -26,3 +26,18 @@ def test_query_equals_sql(spark, duck, name):
     got = registry.queries()[name](spark, DATA)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, result.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["op4_licence_scans", "op9_decontamination"])
+def test_query_equals_sql_on_hostile_texts(spark, tmp_path, name):
+    from test_llm import SCHEMA, fixture_rows
+
+    spark.createDataFrame(fixture_rows(), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, " ".join(fixture_rows()[0][1].split(" ")[20:45])), (2, "gnu"), (3, None), (4, "--"), (10, "Licensed under the")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    result = con.execute(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(tmp_path)).select(*[c[0] for c in result.description])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, result.fetchall()))
