@@ -109,7 +109,7 @@ class Encoder:
         """Ids of each piece.  Pieces of a space and no other white space are encoded many at a call: the ids that begin with the space tell them apart."""
         joint, single = [], []
         for k, part in enumerate(parts):
-            (joint if part[0] == " " and len(part) > 1 and len(part.split()) == 1 and part[1] != " " and not part[-1].isspace() and "<|" not in part else single).append(k)
+            (joint if part[0] == " " and len(part) > 1 and len(part.split()) == 1 and not part[1].isspace() and not part[-1].isspace() and "<|" not in part else single).append(k)
         texts = ["".join(parts[k] for k in joint[i : i + JOIN]) for i in range(0, len(joint), JOIN)]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts + [parts[k] for k in single], add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(ids), np.int32)
@@ -137,9 +137,10 @@ class Encoder:
             for text in texts:
                 if text:
                     # the border's space goes to the piece after it
+                    words, gaps = text.split(), text.count(" ") + text.count("\n")
                     if "\0" in text:
                         numbers.append(piece(text))
-                    elif len(text.split()) == text.count(" ") + text.count("\n") + 1:  # no runs of white space
+                    elif len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)):  # single spaces and line feeds between words, nothing else
                         numbers.extend(map(piece, text.replace(" ", "\0 ").split("\0")))
                     else:
                         numbers.extend(map(piece, _BORDER.sub("\0 ", text).split("\0")))

@@ -198,6 +198,15 @@ def test_token_ids(docs, empty):
     assert token_ids.encode(empty).count() == 0
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    encoder = token_ids.Encoder(token_ids.tokenizer_path())
+    rng = random.Random(4)
+    parts = ["a", "b", "É", "1", " ", " ", " ", "\n", "\t", "\r", "\u3000", "\x1c", "\0", "'s", "<|endoftext|>", "!", "\u00a0"]
+    texts = [" a\tb", "a\tb\tc   d", "a\tb\n c", " x", "x ", ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 24))) for _ in range(2000)]
+    ids, size = encoder(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_simhash(docs, empty):
     prints = {}
     for i, t, *_ in fixture_rows():
