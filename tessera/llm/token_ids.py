@@ -41,10 +41,17 @@ PIECES = 1 << 20
 STEP = 1 << 20
 
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the space and the line feed.
+_OTHER = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
 #: Pieces encoded in one call.
 JOIN = 64
 
 
+def _plain(text: str) -> bool:
+    """Whether every space stands between two characters that are not white space; searches alone, no list of words."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in _OTHER))
+
+
 class _Numbered(dict):
     """Numbers keys as they come and lists those that are new."""
 
@@ -137,10 +144,9 @@ class Encoder:
             for text in texts:
                 if text:
                     # the border's space goes to the piece after it
-                    words, gaps = text.split(), text.count(" ") + text.count("\n")
                     if "\0" in text:
                         numbers.append(piece(text))
-                    elif len(words) == gaps + 1 and len(text) == gaps + sum(map(len, words)):  # single spaces and line feeds between words, nothing else
+                    elif _plain(text):
                         numbers.extend(map(piece, text.replace(" ", "\0 ").split("\0")))
                     else:
                         numbers.extend(map(piece, _BORDER.sub("\0 ", text).split("\0")))
