@@ -2,12 +2,14 @@
 
 Templates are short notices.  Their words, but for ``COMMON`` ones, form the
 index: each word has postings (template, position).  The inverse document
-frequency of every index word is counted over all files.  In each file the
-``RARE`` index words of highest frequency weight are looked up; each occurrence
-and posting give a place where the template would begin, and the words that
-agree on a place are intersected.  A placement supported by all of the file's
-looked-up words that the template has, and by at least two where it has two, is
-verified by the template's mandatory key phrase standing where it must.
+frequency of every index word is counted over all files.  Of each template the
+``RARE`` index words of its key phrase with the highest frequency weight are
+looked up in every file; each occurrence and posting give a place where the
+template would begin, and the words that agree on a place are intersected.  A
+placement supported by all the looked-up words of the template is verified by
+its mandatory key phrase standing where it must.  As those words are the key
+phrase's own, every place where a key phrase stands is found, whatever else the
+file holds.
 
 Base labels come from fixed phrases, counted wherever their words stand
 consecutively.  Everything is DataFrame functions.
@@ -18,6 +20,8 @@ count; ties of frequency are broken by the word; repeated rows are judged each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +76,15 @@ def _key_place(notice: str, key: str) -> int:
     return len(_phrase(notice[: notice.index(key)]))
 
 
+def rarest(label: str, rank: Callable[[str], int], rare: int = RARE) -> list[tuple[str, int]]:
+    """(word, position in the notice) of the ``rare`` lowest ranked index words of a template's key phrase."""
+    notice, key = TEMPLATES[label]
+    place, words = _key_place(notice, key), set(index_words())
+    own = [(w, place + i) for i, w in enumerate(_phrase(key)) if w in words]
+    kept = sorted({w for w, _ in own}, key=rank)[:rare]
+    return [(w, i) for w, i in own if w in kept]
+
+
 def _starts(words: Column, phrase: list[str]) -> Column:
     """Places where the words of a phrase stand consecutively."""
 
@@ -108,28 +121,26 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
     # inverse document frequency of each index word, by number; ties are broken by the word
     order = sorted(range(1, len(names) + 1), key=lambda k: (seen.get(k, 0), names[k - 1]))
     rank = {k: i for i, k in enumerate(order)}
-    ranks = F.array(*[F.lit(rank[k]) for k in range(1, len(names) + 1)])
-    of_word = {n: [] for n in names}
     titles = sorted(TEMPLATES)
-    for w, t, i in postings():
-        of_word[w].append((t, i))
+    keyed = [rarest(name, lambda w: rank[names.index(w) + 1], rare) for name in titles]
+    of_word = {n: [] for n in names}
+    for t, words_at in enumerate(keyed):
+        for w, i in words_at:
+            of_word[w].append((t, i))
     posting = F.array(*[F.array(*[F.struct(F.lit(n).alias("template"), F.lit(i).alias("at")) for n, i in of_word[w]]) if of_word[w] else F.array().cast("array<struct<template:int,at:int>>") for w in names])
 
-    chosen = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(F.get(ranks, h["w"] - 1).alias("r"), h["w"].alias("w"))))), 1, rare)
-    picked = some.select(KEY, "words", "hits", F.transform(chosen, lambda c: c["w"]).alias("chosen"))
-    spots = F.explode(F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("chosen", h["w"])), lambda h: F.transform(F.get(posting, h["w"] - 1), lambda p: F.struct(h["w"].alias("w"), p["template"].alias("template"), (h["i"] - p["at"]).alias("at"))))))
-    spread = picked.select(KEY, "words", "chosen", spots.alias("s")).select(KEY, "words", "chosen", "s.*")
+    spots = F.explode(F.flatten(F.transform("hits", lambda h: F.transform(F.get(posting, h["w"] - 1), lambda p: F.struct(h["w"].alias("w"), p["template"].alias("template"), (h["i"] - p["at"]).alias("at"))))))
+    spread = some.select(KEY, "words", spots.alias("s")).select(KEY, "words", "s.*")
     # the mandatory key phrase, where the placement says
     strings = lambda words: F.array(*map(F.lit, words))
     templates = []
-    for notice, key in (TEMPLATES[name] for name in titles):
-        own = sorted({names.index(w) + 1 for w in _phrase(notice) if of_word.get(w)})
-        templates.append(F.struct(strings(_phrase(notice)).alias("notice"), strings(_phrase(key)).alias("key"), F.lit(_key_place(notice, key)).alias("offset"), F.array(*map(F.lit, own)).alias("own")))
+    for (notice, key), words_at in zip((TEMPLATES[name] for name in titles), keyed, strict=True):
+        templates.append(F.struct(strings(_phrase(notice)).alias("notice"), strings(_phrase(key)).alias("key"), F.lit(_key_place(notice, key)).alias("offset"), F.lit(len({w for w, _ in words_at})).alias("needed")))
     words, at = F.col("words"), F.col("at")
     agree = lambda part, begin: F.size(F.filter(F.transform(part, lambda w, k: F.get(words, begin + k) == w), lambda x: x))
-    checked = let(F.get(F.array(*templates), F.col("template")), lambda m: F.struct((agree(m["key"], at + m["offset"]) == F.size(m["key"])).alias("ok"), (agree(m["notice"], at) / F.size(m["notice"])).alias("part"), F.size(F.array_intersect(F.col("chosen"), m["own"])).alias("needed")))
+    checked = let(F.get(F.array(*templates), F.col("template")), lambda m: F.struct((agree(m["key"], at + m["offset"]) == F.size(m["key"])).alias("ok"), (agree(m["notice"], at) / F.size(m["notice"])).alias("part"), m["needed"].alias("needed")))
     placed = spread.select(KEY, "template", "at", "w", checked.alias("c")).select(KEY, F.get(strings(titles), F.col("template")).alias("name"), "at", "w", "c.*").filter("ok")
-    agreed = placed.groupBy(KEY, "name", "at").agg(F.count_distinct("w").alias("n"), F.max("part").alias("part"), F.max("needed").alias("needed")).filter(F.col("n") >= F.least("needed", F.lit(2)))
+    agreed = placed.groupBy(KEY, "name", "at").agg(F.count_distinct("w").alias("n"), F.max("part").alias("part"), F.max("needed").alias("needed")).filter("n >= needed")
     method = agreed.groupBy(KEY).agg(F.collect_set("name").alias("names"), F.max("part").alias("part"))
 
     joined = kept.drop("words", "hits").join(method, KEY, "left")

@@ -326,3 +326,20 @@ def test_pipeline_filters_as_its_operators_do(spark):
     copies = {r[ID]: r["copies"] for r in mixing.mix(clean).collect()}
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert got == Counter({k: v for k, v in copies.items() if v})
+
+
+def test_licences_finds_every_notice_of_a_file(spark):
+    notice = {label: n for label, (n, _) in licences.TEMPLATES.items()}
+    texts = [notice["mit"] + " filler " + notice["apache-2.0"], notice["bsd"] + " x " + notice["gpl-3.0"], "mozilla domain creative universal redistribution " + notice["gpl-3.0"], " and ".join(n for n in notice.values())]
+    texts += [f"see {key} here" for _, key in licences.TEMPLATES.values()]  # the key phrase alone
+    found = licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    for r in found:
+        words = texts[r[ID]].split()
+        want, part = set(), 0.0
+        for label, (n, key) in licences.TEMPLATES.items():
+            place, n, key = len(n[: n.index(key)].split()), n.split(), key.split()
+            for s in range(len(words) - len(key) + 1):
+                if words[s : s + len(key)] == key:
+                    want.add(label)
+                    part = max(part, sum(0 <= s - place + k < len(words) and words[s - place + k] == w for k, w in enumerate(n)) / len(n))
+        assert set(r["labels"].split(",")) - set(r["base_labels"].split(",")) == want and abs(r["score"] - part) < 1e-9
