@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import SPACES, Words, blocks, text_buffers
 from tessera.llm.components import components
+from tessera.llm.jaccard import near_components
 from tessera.llm.keyed import ID, KEY, TEXT, keyed
 from tessera.llm.workspace import stage
 
@@ -179,8 +180,13 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are the least of their component; of repeated rows one."""
-    found = stage(simhash(docs, doc_id, text, **how).select(ID, KEY, "component"), "components")
+    """The rows of ``docs`` that are the least of their component; of repeated rows one.
+
+    Linked are rows whose five-word shingles have a Jaccard similarity of 0.8 or
+    more (see ``jaccard``): fingerprints of such pairs differ in up to some 20
+    of 64 bits, a radius within which too many unlike pairs lie to compare.
+    """
+    found = stage(near_components(docs, doc_id, text, **how), "components")
     kept = found.filter(F.col(ID).eqNullSafe(F.col("component")))
     # of rows that share the least id one text stays; nulls stand together under a null component
     keys = kept.groupBy("component").agg(F.min(KEY).alias(KEY))

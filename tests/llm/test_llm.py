@@ -343,3 +343,37 @@ def test_licences_finds_every_notice_of_a_file(spark):
                     want.add(label)
                     part = max(part, sum(0 <= s - place + k < len(words) and words[s - place + k] == w for k, w in enumerate(n)) / len(n))
         assert set(r["labels"].split(",")) - set(r["base_labels"].split(",")) == want and abs(r["score"] - part) < 1e-9
+
+
+def test_near_dedup_links_what_brute_force_jaccard_links(spark):
+    rng = random.Random(11)
+    rows = [(i, t) for i, t, *_ in fixture_rows() if i is not None]
+    for g in range(60):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(12, 300))]
+        for _ in range(rng.randint(1, 6)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(3000)}"
+            rows.append((1000 + len(rows), " ".join(w)))
+    sets = []
+    for _, t in rows:
+        w = re.findall(SPACE, low(t))
+        k = min(5, len(w))
+        sets.append(frozenset(tuple(w[s : s + k]) for s in range(len(w) - k + 1)) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.near_dedup(table).select("doc_id").collect()) == sorted(least.values())
+    assert simhash.near_dedup(table.limit(0)).count() == 0
