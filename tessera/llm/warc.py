@@ -79,7 +79,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and where it ends; raises Damaged."""
     if not _LINE.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Damaged("header does not end")
     fields = {}

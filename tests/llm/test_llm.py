@@ -377,3 +377,12 @@ def test_near_dedup_links_what_brute_force_jaccard_links(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.near_dedup(table).select("doc_id").collect()) == sorted(least.values())
     assert simhash.near_dedup(table.limit(0)).count() == 0
+
+
+def test_warc_reads_records_of_very_long_urls(spark, tmp_path):
+    url = "data:text/html," + "x" * 200_000
+    pages = spark.createDataFrame([(1, url, "<p>one"), (2, "u", "<p>two")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder)
+    got = {r.page_id: (r.kind, r.url, bytes(r.payload)) for r in warc.read_archives(spark, folder).collect()}
+    assert got == {1: ("record", url, b"<p>one"), 2: ("record", "u", b"<p>two")}
