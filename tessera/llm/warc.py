@@ -9,7 +9,12 @@ revisit records that refer to it.
 Reader: every record is checked (member, version line, header, lengths, block
 digest).  After a failed check the reader searches for the next place where a
 whole valid member or record begins, logs the bytes between as a quarantined
-gap, and goes on, so one damaged record costs itself alone.
+gap, and goes on.  Inside a member it searches the plain bytes for the next
+version line, and logs the gap with the member's span and its inner offsets; of
+a member of several records cut off at the end of the data it reads what is
+there; one of a single record is a gap.  So one damaged
+record costs itself alone, but a member whose compressed bytes are damaged is
+lost whole, as nothing vouches for the headers of its records.
 
 Defined cases: null payloads are empty; a null id is written without its number
 and read back as null; null urls are left out; repeated rows are written each;
@@ -102,28 +107,51 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"fields": fields, "block": block}, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the member holds, where it ends, and whether it is whole; of a cut-off one what is there."""
     unpack = zlib.decompressobj(31)
     try:
         out = unpack.decompress(memoryview(data)[at:])
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
-    if not unpack.eof:
-        raise Damaged("member is cut off")
-    return out, len(data) - len(unpack.unused_data)
+    return out, len(data) - len(unpack.unused_data), unpack.eof
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the record, that begins at ``at``."""
+def _inside(plain: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """(start, end, record or None, why) over the bytes of a member: records and gaps."""
+    at, bad, why = 0, None, None
+    while at < len(plain):
+        try:
+            one, end = parse(plain, at)
+        except Damaged as e:
+            if bad is None:
+                bad, why = at, str(e)
+            at = plain.find(_VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if bad is not None:
+            yield bad, at, None, why
+            bad = None
+        yield at, end, one, None
+        at = end
+    if bad is not None:
+        yield bad, len(plain), None, why
+
+
+def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict | None, str | None]], int, bool]:
+    """(record or None, why) of the member or record that begins at ``at``, where it ends, and whether it is whole."""
     if data[at : at + 3] == _MAGIC:
-        plain, end = _member_at(data, at)
-        found, place = [], 0
-        while place < len(plain):
-            one, place = parse(plain, place)
-            found.append(one)
-        return found, end
+        plain, end, whole = _member_at(data, at)
+        found = [(one, why and f"{why}, in member at {at}, inner bytes {a} to {b}") for a, b, one, why in _inside(plain)]
+        if plain and not any(one for one, _ in found):
+            raise Damaged(found[0][1] if whole else "member is cut off")
+        # a cut-off member of a single record is a gap, even where all the record's bytes are there
+        if not whole and len(found) < 2:
+            raise Damaged("member is cut off")
+        return found, end, whole
     one, end = parse(data, at)
-    return [one], end
+    return [(one, None)], end, True
 
 
 def _next(data: bytes, at: int) -> int:
@@ -136,7 +164,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     at, bad, why = 0, None, None
     while at < len(data):
         try:
-            found, end = _read_at(data, at)
+            found, end, whole = _read_at(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -145,8 +173,14 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         if bad is not None:
             yield bad, at, None, why
             bad = None
-        for one in found:
-            yield at, end, one, None
+        for one, reason in found:
+            if one is not None or whole:
+                yield at, end, one, reason
+        if not whole:
+            # its readable records are out; the rest is a gap, unless another member begins within
+            bad, why = at, "; ".join(["member is cut off", *[reason for one, reason in found if one is None]])
+            at = _next(data, at + 1)
+            continue
         at = end
     if bad is not None:
         yield bad, len(data), None, why

@@ -386,3 +386,20 @@ def test_warc_reads_records_of_very_long_urls(spark, tmp_path):
     warc.write_archives(pages, folder)
     got = {r.page_id: (r.kind, r.url, bytes(r.payload)) for r in warc.read_archives(spark, folder).collect()}
     assert got == {1: ("record", url, b"<p>one"), 2: ("record", "u", b"<p>two")}
+
+
+def test_warc_salvages_inside_members():
+    records = [warc.record(k, "u", bytes(random.Random(k).randbytes(3000)), None) for k in range(5)]
+    bad = bytearray(records[2])
+    bad[len(bad) // 2] ^= 0xFF
+    ids = lambda found: [f["fields"]["warc-record-id"] for *_, f, _ in found if f]
+    whole = warc.member(b"".join([*records[:2], bytes(bad), *records[3:]]))
+    found = list(warc.salvage(whole + warc.member(records[2])))
+    assert ids(found) == [f"<urn:page:{k}>" for k in (0, 1, 3, 4, 2)]
+    (gap,) = [x for x in found if x[2] is None]
+    begin = len(records[0] + records[1])
+    assert gap[:2] == (0, len(whole)) and f"inner bytes {begin} to {begin + len(bad)}" in gap[3]
+    cut = warc.member(b"".join(records))
+    found = list(warc.salvage(cut[: len(cut) // 2]))
+    assert ids(found) == ["<urn:page:0>", "<urn:page:1>"]
+    assert [x[:2] for x in found if x[2] is None] == [(0, len(cut) // 2)]
