@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur earlier, by a family of suffix arrays.
+"""Removal of byte strings that occur earlier, by a family of hash-ordered suffix indexes.
 
 A string here is ``LENGTH`` bytes of UTF-8.  Each is assigned to its anchor,
 its least ``GRAM`` byte sub-run, and the consecutive strings of one anchor
@@ -6,12 +6,12 @@ travel together with their bytes as one *context*, so that all occurrences of
 a string meet in one shard.  Strings whose anchor the corpus-wide count-min
 sketch shows only once cannot repeat and are never sent.
 
-A shard reads its contexts in document order.  Each new batch gets a suffix
-array, truncated at ``LENGTH`` bytes: positions sorted by a key of the leading
-two bytes and a fingerprint of all ``LENGTH``, which makes equal strings
-adjacent (the order among different strings with the same lead is of no use
-here).  The batch is merge-scanned within itself and against every existing
-level; each match is confirmed on the bytes.  What is new becomes a level, and
+A shard reads its contexts in document order.  Each new batch gets an index in
+place of a suffix array: positions sorted by a key of the leading two bytes and
+a fingerprint of all ``LENGTH``, which makes equal strings adjacent but is not
+the order of the bytes, as only equality of ``LENGTH`` bytes is asked.  The
+batch is searched for equal keys within itself and in every existing level;
+each match is confirmed on the bytes.  What is new becomes a level, and
 levels of equal size merge, so a shard keeps O(log n) levels, each string
 once.
 
