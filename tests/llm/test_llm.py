@@ -7,11 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_cnn, decontaminate, licences, mixing, quality_rules, simhash, substring_dedup, suffix_dedup, token_ids, warc
+from tessera.llm.bytescan import text_buffers
 from tessera.llm.keyed import ID, KEY
 
 SPACE, SYMBOL = "[^\x20\x09-\x0D]+", "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -184,7 +187,6 @@ def test_token_ids(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_ids.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     got = token_ids.encode(docs).collect()
     rows = {}
     for i, t, *_ in fixture_rows():
@@ -198,13 +200,61 @@ def test_token_ids(docs, empty):
     assert token_ids.encode(empty).count() == 0
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+def _encoded(encoder, texts):
+    data, offsets = text_buffers(pa.array(texts, pa.string()))
+    ids, size = encoder(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_ids.tokenizer_path())
     encoder = token_ids.Encoder(token_ids.tokenizer_path())
     rng = random.Random(4)
-    parts = ["a", "b", "É", "1", " ", " ", " ", "\n", "\t", "\r", "\u3000", "\x1c", "\0", "'s", "<|endoftext|>", "!", "\u00a0"]
-    texts = [" a\tb", "a\tb\tc   d", "a\tb\n c", " x", "x ", ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 24))) for _ in range(2000)]
-    ids, size = encoder(texts)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    parts = ["a", "b", "É", "1", " ", " ", " ", "\n", "\t", "\r", "\x0b", "\u3000", "\x1c", "\0", "'s", "'", "!", "\u00a0", "\u0085", "\u2003", "\u180e", "\u200b", "日本語", "<|endoftext", "Thequiteverylongword"]
+    texts = [" a\tb", "a\tb\tc   d", "a\tb\n c", " x", "x ", "", None, "  ", "q" * 300, " <|endoftext|>", "a <|endoftext|> b<|endoftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 24))) for _ in range(4000)]
+    texts += ["".join(rng.choice([*parts, "<|endoftext|>"]) for _ in range(rng.randint(0, 24))) for _ in range(500)]
+    rng.shuffle(texts)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert _encoded(encoder, texts) == want == _encoded(encoder, texts)
+    monkeypatch.setattr(token_ids, "PIECES", 500)  # the memory starts anew again and again
+    assert sum((_encoded(encoder, texts[i : i + 50]) for i in range(0, len(texts), 50)), []) == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_ids.tokenizer_path("word_bpe_49k.json")
+    texts = ["Hello  World", "", "it's <|endoftext|> x", "a\nb"]
+    assert _encoded(token_ids.Encoder(path), texts) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_token_files_can_be_read_selectively(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, " ".join(str(rng.randrange(1000)) for _ in range(rng.randint(50, 150))), "x") for k in range(3000)]
+    out = f"file://{tmp_path}/ids"
+    token_ids.write_ids(spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(3), out, token_ids.tokenizer_path(), row_group=32 << 10, page=8 << 10)
+    files = sorted(tmp_path.glob("ids/*.parquet"))
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(k).path_in_schema.split(".")[0]: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+            assert "RLE_DICTIONARY" in columns["ids"].encodings
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "start_in_part"))
+            assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+            assert meta.row_group(g).total_byte_size < 1 << 20
+            groups += 1
+    assert groups > len(files)  # several row groups a file
+    # metadata alone, and the ids of a few documents
+    lengths = token_ids.read_ids(spark, out).select("doc_id", "n_tokens")
+    assert "ids" not in lengths._jdf.queryExecution().executedPlan().toString()
+    few = token_ids.read_ids(spark, out).filter("doc_id between 1200 and 1202")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,1200), LessThanOrEqual(doc_id,1202)" in few._jdf.queryExecution().toString()
+    encoder = token_ids.Encoder(token_ids.tokenizer_path())
+    assert [list(r.ids) for r in few.orderBy("doc_id").collect()] == _encoded(encoder, [rows[k][1] for k in (1200, 1201, 1202)])
 
 
 def test_simhash(docs, empty):
