@@ -1,8 +1,10 @@
 """WARC archives: a deduplicating writer and a salvage reader.
 
 Writer: one record per page, each its own gzip member, in files of about
-``FILE_BYTES`` written under a temporary name and then renamed, so a task that
-runs again replaces its files with equal ones.  Of pages with equal payloads of
+``FILE_BYTES``, named by partition, number and attempt.  The table of archives
+that the writer returns is staged and names the files of the attempts that
+counted, so what a lost or repeated attempt left behind is never read.  Of pages
+with equal payloads of
 ``REVISIT_BYTES`` or more the largest id holds the payload; the rest become
 revisit records that refer to it.
 
@@ -10,15 +12,17 @@ Reader: every record is checked (member, version line, header, lengths, block
 digest).  After a failed check the reader searches for the next place where a
 whole valid member or record begins, logs the bytes between as a quarantined
 gap, and goes on.  Inside a member it searches the plain bytes for the next
-version line, and logs the gap with the member's span and its inner offsets; of
-a member of several records cut off at the end of the data it reads what is
-there; one of a single record is a gap.  So one damaged
-record costs itself alone, but a member whose compressed bytes are damaged is
-lost whole, as nothing vouches for the headers of its records.
+version line, and logs the gap with the member's span and its inner offsets.  Of
+a member of several records that is cut off, or whose compressed bytes are
+damaged, it reads what can be inflated, and keeps those records that carry a
+block digest and agree with it; one of a single record is a gap.  So one damaged
+record costs itself alone, and damaged compressed bytes cost the rest of their
+member.  Data is inflated in steps, so reading is linear in the archive.
 
 Defined cases: null payloads are empty; a null id is written without its number
 and read back as null; null urls are left out; repeated rows are written each;
-no pages give no archive and no rows.
+digests, lengths and ids of other writers that are not in a known form are read
+as null; other columns are ignored; no pages give no archive and no rows.
 """
 
 from __future__ import annotations
@@ -34,16 +38,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.workspace import fresh_path
+from tessera.llm.workspace import fresh_path, stage
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 LEVEL = 4
+#: Tasks that read archives at most; each reads its share of the files.
+MOST_TASKS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _LINE = re.compile(rb"WARC/1\.\d+\r\n")
+_NUMBER = re.compile(r"-?[0-9]{1,18}")
+#: Compressed bytes inflated at once.
+INFLATE = 64 << 10
 
 
 def _digest(data: bytes) -> str:
@@ -107,22 +116,33 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"fields": fields, "block": block}, end + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What the member holds, where it ends, and whether it is whole; of a cut-off one what is there."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    return out, len(data) - len(unpack.unused_data), unpack.eof
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, bool, str]:
+    """What the member holds, where it ends, whether it is whole, and if not why; of a damaged one what can be inflated."""
+    unpack, out, view = zlib.decompressobj(31), [], memoryview(data)
+    step, spot = INFLATE, at
+    while not unpack.eof and spot < len(data):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(view[spot : spot + step]))
+            spot += step
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), spot, False, f"member: {e}"
+            unpack, step = before, max(1, step // 16)  # nearer to the damage in smaller steps
+    return b"".join(out), min(spot, len(data)) - len(unpack.unused_data), unpack.eof, "member is cut off"
 
 
-def _inside(plain: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(start, end, record or None, why) over the bytes of a member: records and gaps."""
+def _inside(plain: bytes, vouched: bool = True) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """(start, end, record or None, why) over the bytes of a member: records and gaps.
+
+    Where no checksum vouches for the member, records must carry a block digest.
+    """
     at, bad, why = 0, None, None
     while at < len(plain):
         try:
             one, end = parse(plain, at)
+            if not vouched and "warc-block-digest" not in one["fields"]:
+                raise Damaged("no digest vouches for the record")
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -139,19 +159,19 @@ def _inside(plain: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         yield bad, len(plain), None, why
 
 
-def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict | None, str | None]], int, bool]:
-    """(record or None, why) of the member or record that begins at ``at``, where it ends, and whether it is whole."""
+def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict | None, str | None]], int, str | None]:
+    """(record or None, why) of the member or record that begins at ``at``, where it ends, and why it is not whole."""
     if data[at : at + 3] == _MAGIC:
-        plain, end, whole = _member_at(data, at)
-        found = [(one, why and f"{why}, in member at {at}, inner bytes {a} to {b}") for a, b, one, why in _inside(plain)]
+        plain, end, whole, reason = _member_at(data, at)
+        found = [(one, why and f"{why}, in member at {at}, inner bytes {a} to {b}") for a, b, one, why in _inside(plain, whole)]
         if plain and not any(one for one, _ in found):
-            raise Damaged(found[0][1] if whole else "member is cut off")
-        # a cut-off member of a single record is a gap, even where all the record's bytes are there
+            raise Damaged(found[0][1] if whole else reason)
+        # a damaged member of a single record is a gap, even where all the record's bytes are there
         if not whole and len(found) < 2:
-            raise Damaged("member is cut off")
-        return found, end, whole
+            raise Damaged(reason)
+        return found, end, None if whole else reason
     one, end = parse(data, at)
-    return [(one, None)], end, True
+    return [(one, None)], end, None
 
 
 def _next(data: bytes, at: int) -> int:
@@ -164,7 +184,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     at, bad, why = 0, None, None
     while at < len(data):
         try:
-            found, end, whole = _read_at(data, at)
+            found, end, broken = _read_at(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -174,11 +194,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
             yield bad, at, None, why
             bad = None
         for one, reason in found:
-            if one is not None or whole:
+            if one is not None or not broken:
                 yield at, end, one, reason
-        if not whole:
+        if broken:
             # its readable records are out; the rest is a gap, unless another member begins within
-            bad, why = at, "; ".join(["member is cut off", *[reason for one, reason in found if one is None]])
+            bad, why = at, "; ".join([broken, *[reason for one, reason in found if one is None]])
             at = _next(data, at + 1)
             continue
         at = end
@@ -196,11 +216,10 @@ def _write(folder: str, file_bytes: int, level: int):
         size = n = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{root}/part-{part:06d}-{n:04d}.warc.gz"
-            with store.open_output_stream(f"{root}/.{part}-{n}-{attempt}.tmp", compression=None) as f:
+            name = f"part-{part:06d}-{n:04d}-{attempt}.warc.gz"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(b"".join(buffer))
-            store.move(f"{root}/.{part}-{n}-{attempt}.tmp", name)
-            return pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([len(buffer)], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(buffer)], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(k) for k in range(4)), strict=True):
@@ -217,7 +236,7 @@ def _write(folder: str, file_bytes: int, level: int):
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL) -> DataFrame:
-    """Write ``pages`` below ``folder``; returns (file, records, bytes) of the archives."""
+    """Write ``pages`` below ``folder``; returns the staged table (file, records, bytes) of the archives that count."""
     from pyarrow import fs
 
     spark = pages.sparkSession
@@ -230,54 +249,93 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     last = big.groupBy("sha").agg(F.max("__id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     again = big.join(last, "sha").filter(~F.col("__id").eqNullSafe(F.col("refers_to"))).groupBy("__key").agg(F.max("refers_to").alias("refers_to"))
     rows = base.join(again.hint("shuffle_hash"), "__key", "left").select("__id", "__url", "__html", "refers_to")
-    done = rows.mapInArrow(_write(folder, file_bytes, level), "file string, records long, bytes long").collect()  # a row for each file
-    return spark.createDataFrame(done, "file string, records long, bytes long")
+    return stage(rows.mapInArrow(_write(folder, file_bytes, level), "file string, records long, bytes long"), "archives")
+
+
+_NAMES = ["archive", "kind", "start", "end", "why", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+_ROWS = "archive string, kind string, start long, end long, why string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def _number(value: str) -> int | None:
+    return int(value) if _NUMBER.fullmatch(value) else None
+
+
+def _page(value: str) -> int | None:
+    return _number(value.strip("<>").removeprefix(_ID))
+
+
+def _declared_digest(value: str) -> str | None:
+    """Hexadecimal SHA-1 of a digest field in base 32 or 16."""
+    kind, _, tail = value.partition(":")
+    try:
+        raw = {32: b32decode, 40: bytes.fromhex}[len(tail)](tail) if kind.lower() == "sha1" else None
+    except (KeyError, ValueError):
+        return None
+    return raw and raw.hex()
+
+
+def _described(name: str, start: int, end: int, one: dict) -> tuple:
+    """The row of a record: a revisit by what it declares, any other by its own payload."""
+    fields, block = one["fields"], one["block"]
+    kind = fields.get("warc-type")
+    head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    place = (name, "record", start, end, None, _page(fields.get("warc-record-id", "")), fields.get("warc-target-uri"))
+    refers = _page(fields.get("warc-refers-to", ""))
+    if kind != "revisit":
+        return (*place, len(payload), hashlib.sha1(payload).hexdigest(), kind, refers, payload)
+    lengths = [x.split(b":", 1)[1].strip().decode("latin-1") for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    return (*place, _number(lengths[0]) if lengths else None, _declared_digest(fields.get("warc-payload-digest", "")), kind, refers, None)
+
+
+def _rows_of(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    rows, size, schema = [], 0, pa.schema(list(zip(_NAMES, _KINDS, strict=True)))
+    for start, end, one, why in salvage(content):
+        rows.append((name, "gap", start, end, why, *[None] * 7) if one is None else _described(name, start, end, one))
+        size += 0 if one is None else len(one["block"])
+        if size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], schema=schema)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], schema=schema)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["archive", "kind", "start", "end", "why", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
+def _read_named(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def number(value: str) -> int | None:
-        tail = value.strip("<>").removeprefix(_ID)
-        return int(tail) if tail.lstrip("-").isdigit() else None
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    content = f.read()
+                yield from _rows_of(name, content)
 
+    return run
+
+
+def _read_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows, size = [], 0
-            name = path.as_py()
-            for start, end, one, why in salvage(content.as_py()):
-                if one is None:
-                    rows.append((name, "gap", start, end, why, *[None] * 7))
-                    continue
-                fields, block = one["fields"], one["block"]
-                head, _, payload = block.partition(b"\r\n\r\n")
-                revisit = fields.get("warc-type") == "revisit"
-                declared = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-                digest = b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
-                rows.append((name, "record", start, end, None, number(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), declared if revisit else len(payload), digest if revisit else hashlib.sha1(payload).hexdigest(), fields.get("warc-type"), number(fields.get("warc-refers-to", "")), None if revisit else payload))
-                size += len(payload)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
-
-
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records and quarantined gaps (``kind``) of every archive below ``folder``.
-
-    A response is described by its own payload, a revisit by the length and digest it declares.
+            yield from _rows_of(path.as_py(), content.as_py())
+
+
+def read_archives(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
+    """Records and quarantined gaps (``kind``) of the archives below ``folder``: those that ``archives`` names, or all.
+
+    A revisit is described by the length and digest it declares, any other record by its own payload.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    return files.mapInArrow(_read, "archive string, kind string, start long, end long, why string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    if archives is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
+        return files.mapInArrow(_read_binary, _ROWS)
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.select("file").repartition(tasks).mapInArrow(_read_named(folder), _ROWS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(spark, folder).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return read_archives(spark, folder, archives).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
