@@ -1,9 +1,11 @@
 """Vectorised scanning of UTF-8 text held in Arrow buffers.
 
 All positions are byte offsets into one contiguous numpy buffer that holds
-several whole documents; nothing here ever cuts a document.  Hashes of words
-and of runs of words are prefix sums of a polynomial over Z/2^64, so the hash
-of any run is a difference of two prefix sums times an inverse power.
+several whole documents; nothing here ever cuts a document.  Words are hashed
+eight bytes at a time, each step through a bijective mixer, so equal hashes of
+unequal words are a matter of chance.  Hashes of runs of words (or of bytes) are
+prefix sums of a polynomial over Z/2^64, so the hash of any run is a difference
+of two prefix sums times an inverse power.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -35,6 +38,13 @@ SYMBOLS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Start values and factors of two independent word hashes.
+WORD_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+WORD_FACTORS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -95,7 +105,7 @@ class Words:
     """The words of several whole documents.
 
     ``start``/``end``: byte spans; ``first``: for each document the index of
-    its first word, with the total at the end; ``code``: a 64-bit hash of each.
+    its first word, with the total at the end.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = False):
@@ -118,9 +128,23 @@ class Words:
         self.end = np.flatnonzero(closes & keep) + 1
         self.first = np.searchsorted(self.start, self.offsets)
 
-    @property
-    def code(self) -> np.ndarray:
-        return run_hash(prefix(BYTE_CODE[self.data]), self.start, self.end)
+    def codes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; ``which`` names one of two independent ones."""
+        size = self.end - self.start
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        factor = U64(WORD_FACTORS[which])
+        out = mix(size.astype(U64) ^ U64(WORD_SEEDS[which]))
+        out = mix(out + (lanes[self.start] & _MASK[np.minimum(size, 8)]) * factor)
+        live, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(live):
+            left = size[live] - done
+            out[live] = mix(out[live] + (lanes[self.start[live] + done] & _MASK[np.minimum(left, 8)]) * factor)
+            done += 8
+            live = live[left > 8]
+        for k in np.flatnonzero(size > LONG_WORD):
+            out[k] = xxhash.xxh64_intdigest(self.data[self.start[k] : self.end[k]].tobytes(), WORD_SEEDS[which])
+        return out
 
 
 def fold_min(values: np.ndarray, width: int) -> np.ndarray:

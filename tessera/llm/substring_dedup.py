@@ -8,8 +8,9 @@ least as many documents as any of its windows.
    count-min sketch overestimates how many documents hold an anchor, and so
    overestimates how many hold any window it stands for.
 2. Second scan: only windows estimated to repeat are written out, under a
-   128-bit hash of their words.  Each batch first settles repeats within
-   itself, so a window leaves a batch at most once however hot it is.
+   128-bit hash: two 64-bit ones, over two independent hashes of each word.
+   Each batch first settles repeats within itself, so a window leaves a batch
+   at most once however hot it is.
 3. A window function finds the least document of each window exactly; later
    ones are removed.
 
@@ -20,7 +21,6 @@ ids only, so neither removes the other; no rows in gives no rows out.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +40,13 @@ LAST_ID = np.iinfo(np.int64).max
 
 def _anchored(words: Words, window: int, gram: int):
     """(prefix sums, grams, window starts, anchor of each window)."""
-    code = words.code
-    sums = prefix(code)
+    sums = prefix(words.codes())
     starts = window_starts(words.first, window)
     if not len(starts):
-        return code, sums, None, starts, starts
-    at = np.arange(len(code) - gram + 1)
+        return sums, None, starts, starts
+    at = np.arange(len(sums) - gram)
     grams = run_hash(sums, at, at + gram)
-    return code, sums, grams, starts, anchors(grams, starts, window - gram + 1)
+    return sums, grams, starts, anchors(grams, starts, window - gram + 1)
 
 
 def _extract(window: int, gram: int):
@@ -55,7 +54,7 @@ def _extract(window: int, gram: int):
         data, offsets = text_buffers(batch.column(0))
         for a, b in blocks(offsets):
             words = Words(data, offsets[a : b + 1], SPACES)
-            _, _, grams, starts, anchor = _anchored(words, window, gram)
+            _, grams, starts, anchor = _anchored(words, window, gram)
             if not len(starts):
                 continue
             place = anchor[np.r_[True, anchor[1:] != anchor[:-1]]]
@@ -113,14 +112,14 @@ def _windows(shared, width: int, window: int, gram: int):
             keys = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in blocks(offsets):
                 words = Words(data, offsets[a : b + 1], SPACES)
-                code, sums, grams, starts, anchor = _anchored(words, window, gram)
+                sums, grams, starts, anchor = _anchored(words, window, gram)
                 if len(starts):
                     edge = np.r_[True, anchor[1:] != anchor[:-1]]
                     hit = repeated(grams[anchor[edge]])[np.cumsum(edge) - 1]
                     starts = starts[hit]
                 if len(starts):
                     h1 = run_hash(sums, starts, starts + window)
-                    h2 = run_hash(prefix(mix(code ^ U64(0xA5A5A5A55A5A5A5A)), 1), starts, starts + window, 1)
+                    h2 = run_hash(prefix(words.codes(1), 1), starts, starts + window, 1)
                     doc = np.searchsorted(words.first, starts, "right") - 1
                     parts.append((h1, h2, ids[a + doc], keys[a + doc], starts - words.first[doc]))
                 size += int(offsets[b] - offsets[a])
