@@ -65,12 +65,6 @@ def index_words() -> list[str]:
     return sorted({w for notice, key in TEMPLATES.values() for w in _phrase(notice) if w not in COMMON} | {"cc", "public", "rights"})
 
 
-def postings() -> list[tuple[str, int, int]]:
-    """(word, number of the template, position) of every index word."""
-    words = set(index_words())
-    return [(w, t, i) for t, (name, (notice, _)) in enumerate(sorted(TEMPLATES.items())) for i, w in enumerate(_phrase(notice)) if w in words]
-
-
 def _key_place(notice: str, key: str) -> int:
     """Position of the key phrase among the notice's words."""
     return len(_phrase(notice[: notice.index(key)]))
@@ -114,7 +108,6 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
     kept = stage(split.select("*", F.when(words.isNotNull(), hits).alias("hits"), F.when(words.isNotNull(), places).alias("places")), "licence_words")
 
     some = kept.filter("words is not null")
-    total = kept.count()
     counts = some.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").count().collect()  # a row for each index word
     seen = {r["w"]: r["count"] for r in counts}
     names = index_words()
@@ -161,26 +154,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the query's rows; templates and postings are written into it."""
+    """DuckDB SQL for the query's rows; the templates are written into it."""
     lit = lambda s: f"'{s}'"
-    templates = ", ".join(f"({t}, {lit(name)}, {_phrase(n)}, {_phrase(k)}, {_key_place(n, k)})" for t, (name, (n, k)) in enumerate(sorted(TEMPLATES.items())))
-    posted = ", ".join(f"({lit(w)}, {t}, {i})" for w, t, i in postings())
-    index = ", ".join(f"({lit(w)})" for w in index_words())
+    templates = ", ".join(f"({lit(name)}, {_phrase(n)}, {_phrase(k)}, {_key_place(n, k)})" for name, (n, k) in sorted(TEMPLATES.items()))
     base = ", ".join(f"({lit(label)}, {_phrase(p)})" for p, label in BASE.items())
     return rf"""
-WITH templates(template, name, notice, key, place) AS (VALUES {templates}),
-postings(word, template, pos) AS (VALUES {posted}),
-index_words(word) AS (VALUES {index}),
+WITH templates(name, notice, key, place) AS (VALUES {templates}),
 phrases(label, phrase) AS (VALUES {base}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 words AS (SELECT r, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
-hits AS (SELECT r, i, word FROM words JOIN index_words USING (word)),
-rarity AS (SELECT word, row_number() OVER (ORDER BY count(DISTINCT r), word) AS nth FROM index_words LEFT JOIN hits USING (word) GROUP BY word),
-chosen AS (SELECT r, word FROM (SELECT DISTINCT r, word, nth FROM hits JOIN rarity USING (word)) QUALIFY row_number() OVER (PARTITION BY r ORDER BY nth) <= {RARE}),
-spots AS (SELECT r, template, i - pos AS pos, count(DISTINCT word) AS n FROM hits SEMI JOIN chosen USING (r, word) JOIN postings USING (word) GROUP BY ALL),
-needed AS (SELECT r, template, count(DISTINCT word) AS needed FROM chosen JOIN postings USING (word) GROUP BY ALL),
-placed AS (SELECT r, name, pos, notice, w FROM spots JOIN needed USING (r, template) JOIN templates USING (template) JOIN d USING (r)
-           WHERE n >= least(needed, 2) AND pos + place >= 0 AND w[pos + place + 1:pos + place + len(key)] = key),
+placed AS (SELECT r, name, i - place AS pos, notice, w FROM words JOIN templates ON word = key[1] JOIN d USING (r) WHERE w[i + 1:i + len(key)] = key),
 part AS (SELECT r, name, pos, count_if(pos + k >= 0 AND w[pos + k + 1] = notice[k + 1]) / len(notice) AS part
          FROM (SELECT *, unnest(range(0, len(notice))) AS k FROM placed) GROUP BY r, name, pos, notice),
 method AS (SELECT r, max(part) AS part FROM part GROUP BY r),
