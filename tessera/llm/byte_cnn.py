@@ -1,7 +1,7 @@
 """Document quality from bytes, by a small convolutional network in numpy.
 
-Bytes are mapped to 64 classes.  ``FILTERS`` learned filters of ``WIDTH`` bytes
-slide over every byte of a document, in chunks of ``CHUNK`` positions whose
+Every byte is a class of its own, beside padding.  ``FILTERS`` learned filters
+of ``WIDTH`` bytes slide over every byte of a document, in chunks of ``CHUNK`` positions whose
 receptive fields overlap; each chunk is max-pooled, the chunk maxima are
 combined by mean and by maximum over the whole document, and a logistic layer
 gives one probability.  Nothing but the bytes of the text enters a score.
@@ -33,22 +33,8 @@ FILTERS, WIDTH, CHUNK = 24, 6, 256
 SAMPLE, SAMPLE_BYTES = 3072, 32 << 10
 FOLDS, EPOCHS, BATCH, RATE, SEED = 5, 4, 24, 0.01, 7
 THRESHOLD = 0.3
-CLASSES = 64
-
-
-def _classes() -> np.ndarray:
-    """0 padding and control, 1 space, 2 line feed, 3 digits, 4 capitals, 5-30 small letters, 31-62 signs, 63 beyond ASCII."""
-    table = np.zeros(256, np.uint8)
-    table[32], table[10] = 1, 2
-    table[48:58], table[65:91] = 3, 4
-    table[97:123] = np.arange(5, 31)
-    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
-    table[signs] = 31 + np.arange(len(signs))
-    table[128:] = 63
-    return table
-
-
-CLASS = _classes()
+#: The bytes, after 0 for padding.
+CLASSES = 257
 
 
 @dataclass
@@ -60,14 +46,14 @@ class Model:
 
 
 def _chunks(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(class codes of each chunk with its overlap, first chunk of each document)."""
+    """(classes of each chunk's bytes with its overlap, first chunk of each document)."""
     count = np.array([max(1, -(-len(t) // CHUNK)) for t in texts], np.int64)
     first = np.r_[0, np.cumsum(count)]
-    flat = np.zeros(int(first[-1]) * CHUNK + WIDTH - 1, np.uint8)
-    ends = np.zeros((int(first[-1]), WIDTH - 1), np.uint8)
+    flat = np.zeros(int(first[-1]) * CHUNK + WIDTH - 1, np.uint16)
+    ends = np.zeros((int(first[-1]), WIDTH - 1), np.uint16)
     for t, a in zip(texts, first, strict=False):
-        code = CLASS[t]
-        flat[a * CHUNK : a * CHUNK + len(code)] = code
+        flat[a * CHUNK : a * CHUNK + len(t)] = t
+        flat[a * CHUNK : a * CHUNK + len(t)] += 1
     body = flat[: int(first[-1]) * CHUNK].reshape(-1, CHUNK)
     ends[:-1] = body[1:, : WIDTH - 1]
     ends[first[1:] - 1] = 0  # the last chunk of a document overlaps padding, not the next document
