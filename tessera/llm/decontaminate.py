@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import SYMBOLS, U64, Words, blocks, mix, prefix, run_hash, text_buffers
-from tessera.llm.keyed import ID, KEY, TEXT, keyed
+from tessera.llm.keyed import ID, KEY, TEXT, keyed, matched
 
 WINDOW, BLOCK = 10, 3
 MAX_WINDOWS = 1 << 20
@@ -69,7 +69,7 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 def words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
     data, offsets = text_buffers(texts)
     words = Words(data, offsets, SYMBOLS, lower=True)
-    return words, words.code
+    return words, words.codes()
 
 
 def compile_items(ids: list, texts: list, window: int) -> list[Patterns]:
@@ -134,7 +134,7 @@ def _scan(shared):
             for a, b in blocks(offsets):
                 words = Words(data, offsets[a : b + 1], SYMBOLS, lower=True)
                 n_words.append(np.diff(words.first))
-                code = words.code
+                code = words.codes()
                 spans: dict[int, list] = defaultdict(list)
                 seen: dict[int, set] = defaultdict(set)
                 for patterns in tables:
@@ -196,9 +196,8 @@ def hit_words(spans: str = "hits"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    bad = contamination(docs, benchmark, doc_id, text, **how).filter(F.size("hits") > 0).select(KEY).distinct()
-    own = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn(KEY, own).join(bad.hint("shuffle_hash"), KEY, "left_anti").select(*docs.columns)
+    bad = contamination(docs, benchmark, doc_id, text, **how).filter(F.size("hits") > 0)
+    return matched(docs, bad, "left_anti", doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.keyed import ID, KEY
+from tessera.llm.keyed import ID, KEY, free, key_of
 from tessera.llm.native import count_words, let, uniform
 from tessera.llm.workspace import stage
 
@@ -122,10 +122,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    taken = mix(docs, doc_id, text, source, **how).filter("copies > 0").select(F.col(KEY).alias("__k"), F.col("source").alias("__s"), "copies")
-    own = docs.withColumn(KEY, F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(taken.withColumnRenamed("copies", "__copies").hint("shuffle_hash"), (F.col(KEY) == F.col("__k")) & F.col(source).eqNullSafe(F.col("__s")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    key, same, from_, copies, nth = free(docs, KEY, "__same", "__from", "__copies", "__nth")
+    taken = mix(docs, doc_id, text, source, **how).filter("copies > 0").select(F.col(KEY).alias(same), F.col("source").alias(from_), F.col("copies").alias(copies))
+    own = docs.withColumn(key, key_of(doc_id, text))
+    joined = own.join(taken.hint("shuffle_hash"), (F.col(key) == F.col(same)) & F.col(source).cast("string").eqNullSafe(F.col(from_)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop(key, same, from_, copies, nth)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.keyed import ID, KEY
+from tessera.llm.keyed import ID, KEY, matched
 from tessera.llm.native import let, space_words
 from tessera.llm.workspace import stage
 
@@ -187,9 +187,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    good = quality_rules(docs, doc_id, text, **how).filter("kept").select(KEY).distinct()
-    own = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn(KEY, own).join(good.hint("shuffle_hash"), KEY, "left_semi").select(*docs.columns)
+    return matched(docs, quality_rules(docs, doc_id, text, **how).filter("kept"), "left_semi", doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bytescan import SPACES, Words, blocks, text_buffers
 from tessera.llm.components import components
 from tessera.llm.jaccard import near_components
-from tessera.llm.keyed import ID, KEY, TEXT, keyed
+from tessera.llm.keyed import ID, KEY, TEXT, free, key_of, keyed, matched
 from tessera.llm.workspace import stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -189,12 +189,11 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     found = stage(near_components(docs, doc_id, text, **how), "components")
     kept = found.filter(F.col(ID).eqNullSafe(F.col("component")))
     # of rows that share the least id one text stays; nulls stand together under a null component
-    keys = kept.groupBy("component").agg(F.min(KEY).alias(KEY))
-    own = F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
-    left = docs.withColumn(KEY, own).join(keys.select(KEY).hint("shuffle_hash"), KEY, "left_semi")
+    left = matched(docs, kept.groupBy("component").agg(F.min(KEY).alias(KEY)), "left_semi", doc_id, text)
     if found.count() != found.select(KEY).distinct().count():
-        left = left.dropDuplicates([KEY])
-    return left.select(*docs.columns)
+        (key,) = free(docs, KEY)
+        left = left.withColumn(key, key_of(doc_id, text)).dropDuplicates([key]).drop(key)
+    return left
 
 
 def query(spark, sf_dir: str) -> DataFrame:
