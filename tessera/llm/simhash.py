@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import SPACES, Words, blocks, text_buffers
-from tessera.llm.components import components
+from tessera.llm.components import components, with_component
 from tessera.llm.jaccard import near_components
 from tessera.llm.keyed import ID, KEY, TEXT, free, key_of, keyed, matched
 from tessera.llm.workspace import stage
@@ -174,9 +174,7 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     base = keyed(docs, doc_id, text).select(ID, TEXT, KEY)
     prints = stage(base.mapInArrow(_fingerprints(shingle, seed), f"{ID} long, {KEY} long, fp long"), "fingerprints")
     root = components(near_pairs(prints, radius)).withColumnRenamed("node", "fp")
-    rooted = prints.groupBy("fp").agg(F.min(ID).alias("least")).join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return prints.join(named, "fp")
+    return with_component(prints, root)
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
