@@ -5,13 +5,19 @@ vector; for each language and source its centre and scatter are estimated by
 minimum covariance determinant, and documents whose squared Mahalanobis
 distance exceeds ``CUTOFF`` are rejected.
 
-The estimate starts from medians and quartile ranges and takes concentration
-steps: the ``SHARE`` of a group's documents nearest to the present centre give
-the next centre and scatter.  The share is cut off by a histogram of log
-distance, so no group is ever sorted or gathered; sums are of integers (the
-statistics in thousandths), so results do not depend on the order of rows.
-Scatters of small groups are drawn towards the pooled one by ``PRIOR``
-documents' weight, and variances have a floor.
+The estimate starts twice, from medians and quartile ranges and from the moments
+of all, and each start takes concentration steps: the ``SHARE`` of a group's
+documents nearest to the present centre give the next centre and scatter, whose
+determinant does not grow.  Of a group's two results the one of less determinant
+stays.  The share is cut off by a histogram of log distance, so no group is ever
+sorted or gathered; sums and quartiles are of integers (the statistics in
+thousandths, whose distinct values are bounded), so results do not depend on the
+order of rows.  Scatters of small groups are drawn towards the pooled one by
+``PRIOR`` documents' weight, and variances have a floor.
+
+``CUTOFF`` lies far beyond the normal case's quantiles (20.5 for 0.999): the
+statistics of fair documents have long tails, and only documents unlike all
+others of their group should go.
 
 Everything is DataFrame functions; the text is read once.
 
@@ -22,6 +28,8 @@ rules judges nothing; repeated rows are judged each; extra columns are ignored.
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +45,31 @@ SHARE, STEPS, PRIOR = 0.75, 3, 30.0
 FLOORS = (0.15, 0.05, 0.25, 0.25, 0.6)
 #: Squared distance beyond which a document is rejected.
 CUTOFF = 100.0
-#: The scatter of the nearest SHARE is smaller than that of all by about this (normal case, five dimensions).
-CONSISTENCY = 1.5
 SCALE, P = 1000, 5
 _BINS = 64
 _G = ["lang", "source"]
+_GS = [*_G, "start"]
+
+
+def _chi_square(x: float, k: int) -> float:
+    """The chi-square distribution function of k degrees of freedom, by its series."""
+    a, x = k / 2, x / 2
+    term = total = exp(a * log(x) - x - lgamma(a + 1))
+    n = 0
+    while term > 1e-16 * total:
+        n += 1
+        term *= x / (a + n)
+        total += term
+    return total
+
+
+def consistency(share: float = SHARE, p: int = P) -> float:
+    """How much larger the scatter of all is than that of the nearest ``share``, in the normal case."""
+    low, high = 1e-9, 200.0
+    while high - low > 1e-12:
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_square(middle, p) < share else (low, middle)
+    return share / _chi_square(low, p + 2)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -97,27 +125,27 @@ def _moments(rows: DataFrame) -> DataFrame:
     """Per group the count, sums and sums of products."""
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy(*_G).agg(F.count("*").alias("n"), *sums, *products)
+    return rows.groupBy(*_GS).agg(F.count("*").alias("n"), *sums, *products)
 
 
 def _fit(moments: DataFrame) -> DataFrame:
-    """Per group the centre and the inverse Cholesky factor of its scatter, drawn towards the pooled scatter."""
-    everything = Window.partitionBy()  # one row for each group
+    """Per group and start the centre, the inverse Cholesky factor of its scatter, drawn towards the pooled scatter, and its log determinant."""
+    everything = Window.partitionBy("start")  # one row for each group
     d = moments
     names = [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i in range(P) for j in range(i + 1)]
-    d = d.select(*_G, "n", *names, F.sum("n").over(everything).alias("n_all"), *[F.sum(F.col(c).cast("decimal(38,0)")).over(everything).cast("double").alias("all_" + c) for c in names])
-    d = d.select(*_G, "n", *names, "n_all", *["all_" + c for c in names], *[((F.col(f"s{i}") + PRIOR * F.col(f"all_s{i}") / F.col("n_all")) / (F.col("n") + PRIOR)).alias(f"m{i}") for i in range(P)])
+    d = d.select(*_GS, "n", *names, F.sum("n").over(everything).alias("n_all"), *[F.sum(F.col(c).cast("decimal(38,0)")).over(everything).cast("double").alias("all_" + c) for c in names])
+    d = d.select(*_GS, "n", *names, "n_all", *["all_" + c for c in names], *[((F.col(f"s{i}") + PRIOR * F.col(f"all_s{i}") / F.col("n_all")) / (F.col("n") + PRIOR)).alias(f"m{i}") for i in range(P)])
     cov = []
     for i in range(P):
         for j in range(i + 1):
             own = F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}").cast("double") / F.col("n")
             pooled = F.col(f"all_q{i}{j}") / F.col("n_all") - (F.col(f"all_s{i}") / F.col("n_all")) * (F.col(f"all_s{j}") / F.col("n_all"))
-            value = CONSISTENCY * (own + PRIOR * pooled) / (F.col("n") + PRIOR)
+            value = consistency() * (own + PRIOR * pooled) / (F.col("n") + PRIOR)
             if i == j:
                 value = F.greatest(value, F.lit(0.0)) + (FLOORS[i] * SCALE) ** 2
             cov.append(value.alias(f"c{i}{j}"))
-    d = d.select(*_G, *[f"m{i}" for i in range(P)], *cov)
-    keep = [*_G, *[f"m{i}" for i in range(P)]]
+    d = d.select(*_GS, *[f"m{i}" for i in range(P)], *cov)
+    keep = [*_GS, *[f"m{i}" for i in range(P)]]
     # Cholesky factor, one row of it a projection
     for i in range(P):
         for j in range(i + 1):
@@ -136,7 +164,7 @@ def _fit(moments: DataFrame) -> DataFrame:
                     total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
                 value = -total / F.col(f"l{i}{i}")
             d = d.withColumn(f"w{i}{j}", value)
-    return d.select(*keep, *[f"w{i}{j}" for i in range(P) for j in range(i + 1)])
+    return d.select(*keep, *[f"w{i}{j}" for i in range(P) for j in range(i + 1)], sum((2 * F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)).alias("log_det"))
 
 
 def _distance() -> Column:
@@ -149,39 +177,52 @@ def _distance() -> Column:
     return total
 
 
+def _same_group(*columns: str) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(c + "_"))
+    return on
+
+
 def _judged(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Rows with their squared distance; the fit has one row a group, and Spark decides by its size how to join."""
-    named = fit.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), *[c for c in fit.columns if c not in _G])
-    on = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return rows.join(named, on, "left").select(*rows.columns, _distance().alias("d2"))
+    """Rows with their squared distance, under each start of the fit; it has a row or two a group, and Spark decides by its size how to join."""
+    named = fit.withColumnsRenamed({c: c + "_" for c in _G}).drop("log_det")
+    more = ["start"] if "start" in fit.columns else []
+    return rows.join(named, _same_group(*_G), "left").select(*rows.columns, *more, _distance().alias("d2"))
 
 
 def _nearest(judged: DataFrame) -> DataFrame:
     """The SHARE of each group with least distance, to a bin of the histogram of log distance."""
     binned = judged.withColumn("bin", F.floor(F.log1p("d2") * _BINS).cast("int"))
-    counts = binned.groupBy(*_G, "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy(*_G)  # as many rows as bins
-    upto = counts.select(*_G, "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("all"))
-    limit = upto.filter(F.col("upto") >= SHARE * F.col("all")).groupBy(F.col("lang").alias("lang_"), F.col("source").alias("source_")).agg(F.min("bin").alias("limit"))
-    on = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("bin") <= F.col("limit"))
-    return binned.join(limit, on).select(*judged.columns)
+    counts = binned.groupBy(*_GS, "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*_GS)  # as many rows as bins
+    upto = counts.select(*_GS, "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("all"))
+    limit = upto.filter(F.col("upto") >= SHARE * F.col("all")).groupBy(*[F.col(c).alias(c + "_") for c in _GS]).agg(F.min("bin").alias("limit"))
+    return binned.join(limit, _same_group(*_GS) & (F.col("bin") <= F.col("limit"))).select(*judged.columns)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First fit: medians as centre, quartile ranges as spread, no correlation."""
-    parts = rows.groupBy(*_G).agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"p{i}") for i in range(P)])
+def _starts(rows: DataFrame) -> DataFrame:
+    """First fits: 0 has medians as centre, quartile ranges as spread and no correlation; 1 the moments of all."""
+    parts = rows.groupBy(*_G).agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)])
     spread = [1.0 / F.sqrt(((F.get(f"p{i}", F.lit(2)) - F.get(f"p{i}", F.lit(0))) / 1.349) ** 2 + (FLOORS[i] * SCALE) ** 2) for i in range(P)]
-    return parts.select(*_G, *[F.get(f"p{i}", F.lit(1)).cast("double").alias(f"m{i}") for i in range(P)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)])
+    robust = parts.select(*_G, F.lit(0).alias("start"), *[F.get(f"p{i}", F.lit(1)).cast("double").alias(f"m{i}") for i in range(P)], *[(spread[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("log_det"))
+    return robust.unionByName(_fit(_moments(rows.withColumn("start", F.lit(1)))))
+
+
+def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Per group of vectors (lang, source, x0, ...) the centre and inverse Cholesky factor of least determinant."""
+    fit = stage(_starts(rows), "fit")
+    for _ in range(steps):
+        fit = stage(_fit(_moments(_nearest(_judged(rows, fit)))), "fit")
+    least = fit.groupBy(*_G).agg(F.min(F.struct("log_det", "start", *[c for c in fit.columns if c not in (*_GS, "log_det")])).alias("f"))
+    return least.select(*_G, "f.*").drop("start")
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
     """(id, key, statistics, base_failed, d2, kept) of every row."""
     counted = stage(base_statistics(docs, doc_id, text, lang, source).select("*", *_vector()), "statistics")
     fair = counted.filter(~F.col("base_failed")).select(*_G, *[f"x{i}" for i in range(P)])
-    fit = stage(_start(fair), "fit")
-    for _ in range(steps):
-        fit = stage(_fit(_moments(_nearest(_judged(fair, fit)))), "fit")
-    judged = _judged(counted, fit)
+    judged = _judged(counted, estimate(fair, steps))
     return judged.drop(*[f"x{i}" for i in range(P)]).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
 
 
