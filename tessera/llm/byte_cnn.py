@@ -42,7 +42,7 @@ class Model:
     table: np.ndarray  # WIDTH x CLASSES x FILTERS
     bias: np.ndarray  # of the filters
     weight: np.ndarray  # of the mean and the maximum of chunk maxima
-    intercept: float
+    intercept: np.ndarray
 
 
 def _chunks(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,52 +97,57 @@ def predict(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def gradient(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss, in the order of the model's fields; that of a maximum flows to its place."""
+    codes, first = _chunks(texts)
+    tables = _pairs(model)
+    at = np.empty((len(codes), FILTERS), np.int64)
+    raw = np.empty((len(codes), FILTERS), model.table.dtype)
+    for j in range(0, len(codes), 64):
+        act = _activate(codes[j : j + 64], tables)
+        at[j : j + 64] = act.argmax(1)
+        raw[j : j + 64] = np.take_along_axis(act, at[j : j + 64, None], 1)[:, 0]
+    raw += model.bias
+    maxima = np.maximum(raw, 0)
+    feature = _pool(maxima, first)
+    p = 1 / (1 + np.exp(-(feature @ model.weight + model.intercept)))
+    slope = (p - labels) / len(labels)
+    size = np.diff(first)
+    back = slope[:, None] * model.weight
+    owner = np.repeat(np.arange(len(labels)), size)
+    d_max = back[owner, :FILTERS] / size[owner, None]
+    d_max += back[owner, FILTERS:] * (maxima == feature[owner, FILTERS:])
+    d_max *= raw > 0
+    d_table = np.zeros(model.table.shape)
+    rows = np.arange(len(codes))[:, None]
+    for k in range(WIDTH):
+        np.add.at(d_table[k], (codes[rows, at + k], np.arange(FILTERS)[None, :]), d_max)
+    return [d_table, d_max.sum(0), feature.T @ slope, np.array(slope.sum())]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Adam on the log loss; the gradient of a maximum flows to its place."""
+    """Adam on the log loss with a little decay of the last layer."""
     rng = np.random.default_rng(seed)
     rate = (labels.sum() + 1) / (len(labels) + 2)
-    model = Model(rng.normal(0, 0.3, (WIDTH, CLASSES, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), float(np.log(rate / (1 - rate))))
+    model = Model(rng.normal(0, 0.3, (WIDTH, CLASSES, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), np.array(np.log(rate / (1 - rate))))
     if len(labels) == 0 or labels.min() == labels.max():
         return model
     model.weight = rng.normal(0, 0.05, 2 * FILTERS)
-    values = [model.table, model.bias, model.weight, np.array([model.intercept])]
+    values = [model.table, model.bias, model.weight, model.intercept]
     first_moment, second_moment = ([np.zeros(v.shape) for v in values] for _ in range(2))
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
-            codes, first = _chunks([texts[k] for k in some])
-            tables = _pairs(model)
-            at = np.empty((len(codes), FILTERS), np.int64)
-            raw = np.empty((len(codes), FILTERS), np.float32)
-            for j in range(0, len(codes), 64):
-                act = _activate(codes[j : j + 64], tables)
-                at[j : j + 64] = act.argmax(1)
-                raw[j : j + 64] = np.take_along_axis(act, at[j : j + 64, None], 1)[:, 0]
-            raw += model.bias
-            maxima = np.maximum(raw, 0)
-            feature = _pool(maxima, first)
-            p = 1 / (1 + np.exp(-(feature @ values[2] + values[3][0])))
-            slope = (p - labels[some]) / len(some)
-            size = np.diff(first)
-            back = slope[:, None] * values[2]
-            owner = np.repeat(np.arange(len(some)), size)
-            d_max = back[owner, :FILTERS] / size[owner, None]
-            d_max += back[owner, FILTERS:] * (maxima == feature[owner, FILTERS:])
-            d_max *= raw > 0
-            d_table = np.zeros(model.table.shape)
-            rows = np.arange(len(codes))[:, None]
-            for k in range(WIDTH):
-                np.add.at(d_table[k], (codes[rows, at + k], np.arange(FILTERS)[None, :]), d_max)
-            grads = [d_table, d_max.sum(0), feature.T @ slope + 1e-4 * values[2], np.array([slope.sum()])]
+            grads = gradient(model, [texts[k] for k in some], labels[some])
+            grads[2] = grads[2] + 1e-4 * model.weight
             step += 1
             speed = RATE * (1 - epoch / epochs)
             for v, g, m, s in zip(values, grads, first_moment, second_moment, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 v -= (speed * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(v.dtype)
-    model.intercept = float(values[3][0])
     return model
 
 
