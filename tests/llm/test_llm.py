@@ -95,6 +95,69 @@ def test_outlier_is_rejected(spark):
     assert not got[999] and sum(got.values()) >= 297
 
 
+def _brute_mcd(x, groups, share, prior, floors, steps):
+    """Squared distances, by arrays: per group the better of two starts after concentration steps."""
+    scale, p = quality_rules.SCALE, x.shape[1]
+    floor = np.diag([(f * scale) ** 2 for f in floors])
+
+    def fitted(member):  # member: mask of the rows that count
+        pooled, out = np.cov(x[member].T, bias=True), {}
+        for g in set(groups):
+            m = member & np.array([k == g for k in groups])
+            n = m.sum()
+            centre = (x[m].sum(0) + prior * x[member].mean(0)) / (n + prior)
+            own = np.cov(x[m].T, bias=True) * n if n > 1 else np.zeros((p, p))
+            scatter = quality_rules.consistency() * (own + prior * pooled) / (n + prior) + floor
+            out[g] = (centre, scatter)
+        return out
+
+    def distances(fit):
+        d = np.empty(len(x))
+        for g, (centre, scatter) in fit.items():
+            m = np.array([k == g for k in groups])
+            y = x[m] - centre
+            d[m] = np.einsum("ij,jk,ik->i", y, np.linalg.inv(scatter), y)
+        return d
+
+    def steps_from(fit):
+        for _ in range(steps):
+            bins = np.floor(np.log1p(distances(fit)) * quality_rules._BINS)
+            member = np.zeros(len(x), bool)
+            for g in set(groups):
+                m = np.array([k == g for k in groups])
+                b = np.sort(bins[m])
+                member |= m & (bins <= b[int(np.ceil(share * m.sum() - 1e-9)) - 1])
+            fit = fitted(member)
+        return fit
+
+    robust = {}
+    for g in set(groups):
+        q = np.quantile(x[np.array([k == g for k in groups])], [0.25, 0.5, 0.75], axis=0)
+        robust[g] = (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor)
+    ends = [steps_from(robust), steps_from(fitted(np.ones(len(x), bool)))]
+    best = {g: min((e[g] for e in ends), key=lambda f: np.linalg.slogdet(f[1])[1]) for g in set(groups)}
+    return distances(best)
+
+
+def test_outlier_distances_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, (lang, source, n) in enumerate([("en", "a", 400), ("de", "a", 150), (None, "b", 60), ("en", None, 3)]):
+        mixing_matrix = rng.normal(size=(5, 5)) * 300
+        for _ in range(n):
+            x = rng.normal(size=5) @ mixing_matrix + 1000 * g
+            if rng.random() < 0.15:
+                x += 6000
+            rows.append((lang, source, *[int(v) for v in x]))
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} long" for i in range(5))).withColumn("n", F.monotonically_increasing_id())
+    fair = table.drop("n").repartition(4)
+    got = quality_rules._judged(table, quality_rules.estimate(fair)).collect()
+    got = {(r.lang, r.source, *[r[f"x{i}"] for i in range(5)]): r.d2 for r in got}
+    want = _brute_mcd(np.array([r[2:] for r in rows], float), [r[:2] for r in rows], quality_rules.SHARE, quality_rules.PRIOR, quality_rules.FLOORS, quality_rules.STEPS)
+    assert max(abs(got[r] - w) / (1 + w) for r, w in zip(rows, want)) < 1e-6
+    assert abs(quality_rules.consistency() - 1.4119) < 2e-3 and abs(quality_rules._chi_square(20.515, 5) - 0.999) < 1e-5
+
+
 def _ordered():
     rows = [(i, t or "") for i, t, *_ in fixture_rows()]
     return sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)), rows
@@ -370,6 +433,45 @@ def test_classifier(spark, docs, empty):
     assert byte_cnn.score(empty, byte_cnn.learn(empty, labels)).count() == 0
 
 
+def test_classifier_is_the_network_it_says():
+    rng = np.random.default_rng(1)
+    model = byte_cnn.Model(rng.normal(0, 0.5, (byte_cnn.WIDTH, 257, byte_cnn.FILTERS)), rng.normal(0, 0.2, byte_cnn.FILTERS), rng.normal(0, 0.3, 2 * byte_cnn.FILTERS), np.array(0.2))
+    texts = [np.frombuffer(t, np.uint8) for t in (b"", b"a", "déjà vu 1999 Привет".encode(), bytes(rng.integers(0, 256, 700, dtype=np.uint8)), b"x" * 256)]
+
+    def loss_and_scores():
+        scores = []
+        for t in texts:
+            n, chunks = max(1, -(-len(t) // byte_cnn.CHUNK)), []
+            padded = np.r_[t.astype(int) + 1, np.zeros(n * byte_cnn.CHUNK + byte_cnn.WIDTH - len(t), int)]
+            for c in range(n):
+                conv = [sum(model.table[k][padded[i + k]] for k in range(byte_cnn.WIDTH)) for i in range(c * byte_cnn.CHUNK, (c + 1) * byte_cnn.CHUNK)]
+                chunks.append(np.maximum(np.max(conv, 0) + model.bias, 0))
+            z = np.r_[np.mean(chunks, 0), np.max(chunks, 0)] @ model.weight + model.intercept
+            scores.append(1 / (1 + np.exp(-z)))
+        p = np.array(scores)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)), p
+
+    labels = np.array([1, 0, 1, 0, 1.0])
+    assert np.allclose(byte_cnn.predict(model, texts), loss_and_scores()[1], atol=1e-5)
+    grads = byte_cnn.gradient(model, texts, labels)
+    places = [(0, tuple(x)) for x in np.argwhere(np.abs(grads[0]) > 1e-4)[::400]] + [(1, (k,)) for k in (0, 5)] + [(2, (k,)) for k in (0, 30)] + [(3, ())]
+    values = [model.table, model.bias, model.weight, model.intercept]
+    for f, at in places:
+        old, losses = values[f][at].copy(), []
+        for d in (1e-5, -1e-5):
+            values[f][at] = old + d
+            losses.append(loss_and_scores()[0])
+        values[f][at] = old
+        assert abs((losses[0] - losses[1]) / 2e-5 - grads[f][at]) < 1e-4
+
+
+def test_classifier_of_one_class_and_repeated_rows(spark):
+    table = spark.createDataFrame([(k % 5, "same text") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(5)] * 2, "doc_id long, quality int")
+    scores = {r.score for r in byte_cnn.score(table, byte_cnn.learn(table, labels)).collect()}
+    assert len(scores) == 1 and 0.5 < scores.pop() < 1
+
+
 def test_pipeline_filters_as_its_operators_do(spark):
     import corpus_pipeline
 
