@@ -31,8 +31,8 @@ class FeatureConfig:
 @dataclass(frozen=True)
 class PostConfig:
     # Fixed values of the correction rules.
-    fit_day: int = 28
-    val_day: int = 29
+    fit_day: int = 48
+    val_day: int = 49
     cap_scale: float = 2.5
     shrink: float = 0.95
     shrink_below: float = 0.5
@@ -41,4 +41,4 @@ class PostConfig:
     trend_low: float = 0.3
     trend_high: float = 3.0
     bias: float = 0.008
-    surge: tuple[str, ...] = field(default=("qp0b40", "qp0b41", "qp0b50", "qp0c40", "qp0c51", "qp0c62"))
+    surge: tuple[str, ...] = field(default=("qp03xw", "qp03w9", "qp03wz", "qp03xp", "qp03xx", "qp03wd"))

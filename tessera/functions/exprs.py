@@ -111,11 +111,10 @@ def between(c, bounds: tuple[int, int]) -> Column:
 def array_mean_std(columns: list[Column]) -> tuple[Column, Column]:
     """Row-wise mean and sample deviation over the columns that are not null."""
     have = F.filter(F.array(*columns), lambda x: x.isNotNull())
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     n = F.size(have)
     mean = F.when(n > 0, F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / n)
-    var = F.when(n > 1, F.aggregate(have, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: F.greatest(a["q"] - a["s"] * a["s"] / n, F.lit(0.0)) / (n - 1)))
-    return mean, F.sqrt(var)
+    squares = F.aggregate(F.transform(have, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
+    return mean, F.sqrt(F.when(n > 1, squares / (n - 1)))
 
 
 def sample_weight(lag="demand_lag_96") -> Column:

@@ -53,7 +53,10 @@ def impute_mode(df: DataFrame, modes: DataFrame, key: str, value: str) -> DataFr
 
 
 def decode_coordinates(df: DataFrame, geohash: str = "geohash") -> DataFrame:
-    return df.withColumns({"latitude": E.geohash_lat(geohash), "longitude": E.geohash_lon(geohash)})
+    """latitude and longitude of the cell's centre; each distinct geohash is decoded once, and Spark broadcasts them if they are few."""
+    cells = df.select(F.col(geohash).alias("_g")).distinct().select("_g", E.geohash_lat("_g").alias("latitude"), E.geohash_lon("_g").alias("longitude"))
+    kept = df.drop("latitude", "longitude")
+    return kept.join(cells, kept[geohash].eqNullSafe(cells["_g"]), "left").drop("_g")
 
 
 def coordinate_fallback(df: DataFrame, default: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -70,8 +73,9 @@ def time_features(df: DataFrame, ts: str = "ts_hm") -> DataFrame:
     return df.withColumn("time_slot", E.slot("hour", "minute")).withColumns({"sin_time": sin, "cos_time": cos, "day_of_week": E.day_of_week(), "is_weekend": E.is_weekend()})
 
 
-#: Narrowest integer types by their strict bounds.
+#: Narrowest integer types by their strict bounds, and the largest float.
 _WIDTHS = ((1 << 7, "byte"), (1 << 15, "short"), (1 << 31, "int"))
+_FLOAT = 3.4028234663852886e38
 
 
 def downcast_plan(df: DataFrame) -> dict[str, str]:
@@ -83,10 +87,12 @@ def downcast_plan(df: DataFrame) -> dict[str, str]:
     plan = {}
     for f in fields:
         low, high = row[f.name]
-        if not isinstance(f.dataType, T.IntegralType):
-            plan[f.name] = "float"
-        elif low is None:
-            plan[f.name] = "double"
+        if low is None:
+            plan[f.name] = "double" if isinstance(f.dataType, T.IntegralType) else "float"
+        elif not isinstance(f.dataType, T.IntegralType):
+            # infinite and undefined values survive either way
+            finite = [abs(float(x)) for x in (low, high) if abs(float(x)) != float("inf") and x == x]
+            plan[f.name] = "float" if max(finite, default=0.0) < _FLOAT else "double"
         else:
             plan[f.name] = next((t for w, t in _WIDTHS if -w < low and high < w - 1), "long")
     return plan

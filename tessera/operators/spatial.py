@@ -10,7 +10,8 @@ from tessera.functions import exprs as E
 
 def centroids(df: DataFrame) -> DataFrame:
     """(geohash, latitude, longitude) of the distinct cells."""
-    return df.groupBy("geohash").agg(F.avg(E.geohash_lat("geohash")).alias("latitude"), F.avg(E.geohash_lon("geohash")).alias("longitude"), F.count("*").alias("n"))
+    cells = df.groupBy("geohash").agg(F.count("*").alias("n"))
+    return cells.select("geohash", E.geohash_lat("geohash").alias("latitude"), E.geohash_lon("geohash").alias("longitude"), "n")
 
 
 def knn_edges(cells: DataFrame, k: int = 5) -> DataFrame:

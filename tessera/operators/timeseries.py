@@ -77,33 +77,47 @@ def peak_means(ref: DataFrame, morning=(28, 40), evening=(68, 80)) -> DataFrame:
     return slots.groupBy("geohash", "day").agg(over(morning).alias("yesterday_peak_morning_mean"), over(evening).alias("yesterday_peak_evening_mean"))
 
 
+#: Ids that share a bucket of the chronology check.
+BUCKET = 1 << 16
+
+
 def chronology_breaks(df: DataFrame, key: str = "idx") -> DataFrame:
-    """Rows whose slot lies before that of the row before; the order is within a day's rows and between day ends.
+    """Rows whose slot lies before that of the row before, in the order of an integer ``key``.
 
-    The comparison needs only neighbours, so it is made per range partition of
-    the key: each partition's own steps, and one step between partitions.
+    The comparison needs only neighbours, so it is made per bucket of the key:
+    each bucket's own steps, and one step between buckets.  A bucket is a function
+    of the key alone, so no two exchanges can differ about it; the last window
+    holds one row for each bucket.
     """
-    w = Window.partitionBy("part").orderBy(key)
-    parts = df.select(key, (F.col("day") * 100 + F.col("time_slot")).alias("s")).repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    inner = parts.withColumn("before", F.lag("s").over(w)).agg(F.count_if(F.col("s") < F.col("before")).alias("n"))
-    ends = parts.groupBy("part").agg(F.min_by("s", key).alias("first"), F.max_by("s", key).alias("last"))
-    between = ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).agg(F.count_if(F.col("first") < F.col("before")).alias("n"))
-    return inner.union(between).agg(F.sum("n").cast("long").alias("breaks")).withColumn("chronological", F.col("breaks") == 0)
+    within, step = Window.partitionBy("_b").orderBy(key), F.col("day") * 100 + F.col("time_slot")
+    rows = df.select(F.col(key), step.alias("_s"), F.floor(F.col(key) / BUCKET).alias("_b")).withColumn("_before", F.lag("_s").over(within))
+    ends = rows.groupBy("_b").agg(F.count_if(F.col("_s") < F.col("_before")).alias("_n"), F.min_by("_s", key).alias("_first"), F.max_by("_s", key).alias("_last"))
+    both = ends.withColumn("_prior", F.lag("_last").over(Window.orderBy("_b")))
+    breaks = F.coalesce(F.sum(F.col("_n") + F.coalesce((F.col("_first") < F.col("_prior")).cast("long"), F.lit(0))), F.lit(0))
+    return both.agg(breaks.cast("long").alias("breaks")).withColumn("chronological", F.col("breaks") == 0)
 
 
 def contiguous_folds(df: DataFrame, k: int = 5, order=ORDER, name: str = "fold") -> DataFrame:
     """Fold 0..k-1 by position in the order: the first n % k folds are one row longer.
 
-    Positions come from range partitions and their offsets, not from one global window.
+    A row's position is the number of rows under lesser leading columns of the
+    order (day and slot), counted once by an aggregate with a row for each, and
+    its number among those that share them.  Both depend on the row alone, not on
+    how a range exchange happened to cut; the window over the counts holds a row
+    for each slot of the calendar.  Null keys come first and are kept.
     """
     if k == 1:
         return df.withColumn(name, F.lit(0))
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy()
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"), F.sum("_n").over(whole).alias("_all"))
-    placed = parts.join(F.broadcast(offsets), "_part").withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_off"))
+    lead = list(order[:-1])
+    counts = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in lead]).agg(F.count("*").alias("_n"))
+    upto = Window.orderBy(*[f"_k_{c}" for c in lead])
+    offsets = counts.select("*", (F.sum("_n").over(upto) - F.col("_n")).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_all")).drop("_n")
+    on = F.lit(True)
+    for c in lead:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    among = F.row_number().over(Window.partitionBy(*lead).orderBy(order[-1]))
+    placed = df.withColumn("_i", among - 1).join(offsets, on).withColumn("_i", F.col("_i") + F.col("_off"))
     size, extra = F.floor(F.col("_all") / k), F.col("_all") % k
     long_rows = extra * (size + 1)
     fold = F.when(F.col("_i") < long_rows, F.floor(F.col("_i") / (size + 1))).otherwise(extra + F.floor((F.col("_i") - long_rows) / F.greatest(size, F.lit(1))))
-    return placed.withColumn(name, fold.cast("int")).drop("_part", "_n", "_off", "_all", "_i")
+    return placed.withColumn(name, fold.cast("int")).drop("_off", "_all", "_i", *[f"_k_{c}" for c in lead])

@@ -15,6 +15,9 @@ from tessera.plans import features, scoring
 from tessera.sources.tables import demand_obs
 from tessera.streaming.slots import slot_demand
 
+#: The corrections, for the days and cells of the test tables' panel.
+POST = PostConfig(fit_day=28, val_day=29, surge=("qp0b40", "qp0b41", "qp0b50", "qp0c40", "qp0c51", "qp0c62"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -67,6 +70,25 @@ def rr(*columns: str) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
 
 
+def f32(*columns: str) -> list:
+    """For results whose last bits depend on the order of a sum: rounded to floats, which no tie of decimal values can tip."""
+    return [F.col(c).cast("float").cast("double").alias(c) for c in columns]
+
+
+def d32(*columns: str) -> list:
+    """The same for deviations; below 1e-9 they are none."""
+    return [F.when(F.col(c) < 1e-9, 0.0).otherwise(F.col(c)).cast("float").cast("double").alias(c) for c in columns]
+
+
+def ff(*columns: tuple[str, str]) -> str:
+    """f32 for the oracle, from (expression, name)."""
+    return ", ".join(f"CAST(CAST({e} AS FLOAT) AS DOUBLE) AS {n}" for e, n in columns)
+
+
+def dd(*columns: tuple[str, str]) -> str:
+    return ", ".join(f"CAST(CAST(CASE WHEN {e} < 1e-9 THEN 0 ELSE {e} END AS FLOAT) AS DOUBLE) AS {n}" for e, n in columns)
+
+
 # ---- scalars ---------------------------------------------------------------
 
 
@@ -291,9 +313,9 @@ def lags(spark, d):
 _ANY = f"[{', '.join(_LAG_NAMES)}]"
 
 
-@query("lag_stats", f", l AS (SELECT idx, {_LAGS} FROM obs) SELECT idx, round(list_avg({_ANY}), 6) AS demand_yesterday_mean_5, round(list_stddev_samp({_ANY}), 6) AS demand_yesterday_std_5 FROM l")
+@query("lag_stats", f", l AS (SELECT idx, {_LAGS} FROM obs) SELECT idx, {ff((f'list_avg({_ANY})', 'demand_yesterday_mean_5'))}, {dd((f'list_stddev_samp({_ANY})', 'demand_yesterday_std_5'))} FROM l")
 def lag_stats(spark, d):
-    return timeseries.lag_stats(timeseries.positional_lags(obs(spark, d))).select("idx", *r6("demand_yesterday_mean_5", "demand_yesterday_std_5"))
+    return timeseries.lag_stats(timeseries.positional_lags(obs(spark, d))).select("idx", *f32("demand_yesterday_mean_5"), *d32("demand_yesterday_std_5"))
 
 
 @query("calendar_lag", "SELECT idx, round(v, 6) AS calendar_lag FROM obs o LEFT JOIN slots s ON s.geohash = o.geohash AND s.day = o.day - 1 AND s.time_slot = o.time_slot")
@@ -305,9 +327,9 @@ def calendar_lag(spark, d):
 _REG = [f"{r}_demand_lag_{n}" for r in ("reg5", "reg4") for n in FeatureConfig.regional_lags]
 
 
-@query("regional_lags", ", g AS (SELECT *, avg(demand) OVER (PARTITION BY day, time_slot, p5) AS reg5, avg(demand) OVER (PARTITION BY day, time_slot, p4) AS reg4 FROM obs), l AS (SELECT idx, " + ", ".join(f"lag({c[:4]}, {c[-2:]}) {_W} AS {c}" for c in _REG) + f" FROM g) SELECT idx, {rr(*_REG)} FROM l")
+@query("regional_lags", ", g AS (SELECT *, avg(demand) OVER (PARTITION BY day, time_slot, p5) AS reg5, avg(demand) OVER (PARTITION BY day, time_slot, p4) AS reg4 FROM obs), l AS (SELECT idx, " + ", ".join(f"lag({c[:4]}, {c[-2:]}) {_W} AS {c}" for c in _REG) + f" FROM g) SELECT idx, {ff(*[(c, c) for c in _REG])} FROM l")
 def regional_lags(spark, d):
-    return timeseries.regional_lags(obs(spark, d)).select("idx", *r6(*_REG))
+    return timeseries.regional_lags(obs(spark, d)).select("idx", *f32(*_REG))
 
 
 _TODAY = [f"demand_today_lag_{k}" for k in range(9)]
@@ -319,15 +341,15 @@ def today_lags(spark, d):
     return timeseries.today_lags(o, o).select("idx", *r6(*_TODAY))
 
 
-@query("diurnal_window", "SELECT idx, round(avg(v), 6) AS demand_yesterday_rolling_mean_9, round(stddev_pop(v), 6) AS demand_yesterday_rolling_std_9 FROM obs o LEFT JOIN slots s ON s.geohash = o.geohash AND s.day = o.day - 1 AND s.time_slot BETWEEN o.time_slot - 4 AND o.time_slot + 4 GROUP BY idx")
+@query("diurnal_window", f"SELECT idx, {ff(('avg(v)', 'demand_yesterday_rolling_mean_9'))}, {dd(('stddev_pop(v)', 'demand_yesterday_rolling_std_9'))} FROM obs o LEFT JOIN slots s ON s.geohash = o.geohash AND s.day = o.day - 1 AND s.time_slot BETWEEN o.time_slot - 4 AND o.time_slot + 4 GROUP BY idx")
 def diurnal_window(spark, d):
     o = obs(spark, d)
-    return timeseries.diurnal(o, o).select("idx", *r6("demand_yesterday_rolling_mean_9", "demand_yesterday_rolling_std_9"))
+    return timeseries.diurnal(o, o).select("idx", *f32("demand_yesterday_rolling_mean_9"), *d32("demand_yesterday_rolling_std_9"))
 
 
-@query("peak_means", "SELECT geohash, day, round(avg(v) FILTER (time_slot BETWEEN 28 AND 40), 6) AS yesterday_peak_morning_mean, round(avg(v) FILTER (time_slot BETWEEN 68 AND 80), 6) AS yesterday_peak_evening_mean FROM slots GROUP BY ALL")
+@query("peak_means", f"SELECT geohash, day, {ff(('avg(v) FILTER (time_slot BETWEEN 28 AND 40)', 'yesterday_peak_morning_mean'), ('avg(v) FILTER (time_slot BETWEEN 68 AND 80)', 'yesterday_peak_evening_mean'))} FROM slots GROUP BY ALL")
 def peak_means(spark, d):
-    return timeseries.peak_means(obs(spark, d)).select("geohash", "day", *r6("yesterday_peak_morning_mean", "yesterday_peak_evening_mean"))
+    return timeseries.peak_means(obs(spark, d)).select("geohash", "day", *f32("yesterday_peak_morning_mean", "yesterday_peak_evening_mean"))
 
 
 @query("test_lags", f", u AS (SELECT *, false AS is_test FROM train UNION ALL SELECT *, true FROM test), l AS (SELECT idx, is_test, {_LAGS} FROM u) SELECT idx, {rr(*_LAG_NAMES)} FROM l WHERE is_test")
@@ -378,10 +400,10 @@ def knn_edges(spark, d):
     return spatial.knn_edges(spatial.centroids(obs(spark, d))).select("geohash", "nbr", "rank", F.round("dist", 9).alias("dist"))
 
 
-@query("knn_lag", _KNN + "SELECT idx, round(avg(v), 6) AS knn_lag96_mean, round(stddev_pop(v), 6) AS knn_lag96_std FROM obs o LEFT JOIN (SELECT e.geohash, s.day, s.time_slot, s.v FROM edges e JOIN slots s ON s.geohash = e.nbr) n ON n.geohash = o.geohash AND n.day = o.day - 1 AND n.time_slot = o.time_slot GROUP BY idx")
+@query("knn_lag", _KNN + f"SELECT idx, {ff(('avg(v)', 'knn_lag96_mean'))}, {dd(('stddev_pop(v)', 'knn_lag96_std'))} FROM obs o LEFT JOIN (SELECT e.geohash, s.day, s.time_slot, s.v FROM edges e JOIN slots s ON s.geohash = e.nbr) n ON n.geohash = o.geohash AND n.day = o.day - 1 AND n.time_slot = o.time_slot GROUP BY idx")
 def knn_lag(spark, d):
     o = obs(spark, d)
-    return spatial.knn_lag(o, o, spatial.knn_edges(spatial.centroids(o))).select("idx", *r6("knn_lag96_mean", "knn_lag96_std"))
+    return spatial.knn_lag(o, o, spatial.knn_edges(spatial.centroids(o))).select("idx", *f32("knn_lag96_mean"), *d32("knn_lag96_std"))
 
 
 _CENTERS = [(0, -5.47, 90.63), (1, -5.44, 90.66), (2, -5.42, 90.70)]
@@ -403,7 +425,7 @@ def kmeans_clusters(spark, d):
 
 _HW = "(coalesce(road_type = 'Highway', false) OR coalesce(lanes >= 4, false))"
 _LAG = ", lagm AS (SELECT geohash, time_slot, avg(demand) AS lg FROM train WHERE day = 28 GROUP BY ALL), dm AS (SELECT geohash, avg(demand) FILTER (day = 28) AS mf, avg(demand) FILTER (day = 29) AS mv FROM train WHERE day IN (28, 29) GROUP BY geohash), sf AS (SELECT geohash, least(greatest(mv / nullif(mf, 0), 0.3), 3.0) AS sf FROM dm WHERE mf IS NOT NULL AND mv IS NOT NULL)"
-_SURGE = "geohash IN (" + ", ".join(f"'{g}'" for g in PostConfig().surge) + ")"
+_SURGE = "geohash IN (" + ", ".join(f"'{g}'" for g in POST.surge) + ")"
 
 
 def _rule(name: str, sql: str, f):
@@ -413,12 +435,12 @@ def _rule(name: str, sql: str, f):
         return f(test, train).select("idx", *r6("p"))
 
 
-_rule("highway_calibration", f", s AS (SELECT (SELECT avg(demand) FROM train WHERE {_HW}) AS y, (SELECT avg(p) FROM test WHERE {_HW}) AS q) SELECT idx, round(CASE WHEN {_HW} AND y IS NOT NULL AND q IS NOT NULL THEN least(greatest(p * CASE WHEN q <= 0 THEN 1 ELSE least(y / q, 2.5) END, 0), 1) ELSE p END, 6) AS p FROM test, s", lambda t, tr: postprocess.highway_calibration(t, tr))
-_rule("midrange_shrink", f" SELECT idx, round(CASE WHEN {_HW} AND p < 0.5 THEN p * 0.95 ELSE p END, 6) AS p FROM test", lambda t, tr: postprocess.midrange_shrink(t))
-_rule("lag96_blend", " SELECT idx, round(least(greatest(coalesce(0.3 * lg + 0.7 * p, p), 0), 1), 6) AS p FROM test LEFT JOIN lagm USING (geohash, time_slot)", lambda t, tr: postprocess.lag_blend(t, tr))
-_rule("trend_correct", " SELECT idx, round(least(greatest(0.95 * p + 0.05 * least(greatest(p * coalesce(sf, 1), 0), 1), 0), 1), 6) AS p FROM test LEFT JOIN sf USING (geohash)", lambda t, tr: postprocess.trend_correct(t, tr))
-_rule("surge_override", f" SELECT idx, round(CASE WHEN {_SURGE} AND lg IS NOT NULL AND mv / nullif(mf, 0) IS NOT NULL THEN least(lg * mv / mf, 1.0) ELSE p END, 6) AS p FROM test LEFT JOIN lagm USING (geohash, time_slot) LEFT JOIN dm USING (geohash)", lambda t, tr: postprocess.surge_override(t, tr))
-_rule("bias_sub", " SELECT idx, round(least(greatest(p - 0.008, 0), 1), 6) AS p FROM test", lambda t, tr: postprocess.bias_subtract(t))
+_rule("highway_calibration", f", s AS (SELECT (SELECT avg(demand) FROM train WHERE {_HW}) AS y, (SELECT avg(p) FROM test WHERE {_HW}) AS q) SELECT idx, round(CASE WHEN {_HW} AND y IS NOT NULL AND q IS NOT NULL THEN least(greatest(p * CASE WHEN q <= 0 THEN 1 ELSE least(y / q, 2.5) END, 0), 1) ELSE p END, 6) AS p FROM test, s", lambda t, tr: postprocess.highway_calibration(t, tr, POST))
+_rule("midrange_shrink", f" SELECT idx, round(CASE WHEN {_HW} AND p < 0.5 THEN p * 0.95 ELSE p END, 6) AS p FROM test", lambda t, tr: postprocess.midrange_shrink(t, POST))
+_rule("lag96_blend", " SELECT idx, round(least(greatest(coalesce(0.3 * lg + 0.7 * p, p), 0), 1), 6) AS p FROM test LEFT JOIN lagm USING (geohash, time_slot)", lambda t, tr: postprocess.lag_blend(t, tr, POST))
+_rule("trend_correct", " SELECT idx, round(least(greatest(0.95 * p + 0.05 * least(greatest(p * coalesce(sf, 1), 0), 1), 0), 1), 6) AS p FROM test LEFT JOIN sf USING (geohash)", lambda t, tr: postprocess.trend_correct(t, tr, POST))
+_rule("surge_override", f" SELECT idx, round(CASE WHEN {_SURGE} AND lg IS NOT NULL AND mv / nullif(mf, 0) IS NOT NULL THEN least(lg * mv / mf, 1.0) ELSE p END, 6) AS p FROM test LEFT JOIN lagm USING (geohash, time_slot) LEFT JOIN dm USING (geohash)", lambda t, tr: postprocess.surge_override(t, tr, POST))
+_rule("bias_sub", " SELECT idx, round(least(greatest(p - 0.008, 0), 1), 6) AS p FROM test", lambda t, tr: postprocess.bias_subtract(t, POST))
 _rule(
     "postprocess_all",
     f""", s AS (SELECT (SELECT avg(demand) FROM train WHERE {_HW}) AS y, (SELECT avg(p) FROM test WHERE {_HW}) AS q),
@@ -428,13 +450,13 @@ r3 AS (SELECT r2.* EXCLUDE (p), lg, least(greatest(coalesce(0.3 * lg + 0.7 * p,
 r4 AS (SELECT r3.* EXCLUDE (p), least(greatest(0.95 * p + 0.05 * least(greatest(p * coalesce(sf, 1), 0), 1), 0), 1) AS p FROM r3 LEFT JOIN sf USING (geohash)),
 r5 AS (SELECT r4.* EXCLUDE (p), CASE WHEN {_SURGE} AND lg IS NOT NULL AND mv / nullif(mf, 0) IS NOT NULL THEN least(lg * mv / mf, 1.0) ELSE p END AS p FROM r4 LEFT JOIN dm USING (geohash))
 SELECT idx, round(least(greatest(p - 0.008, 0), 1), 6) AS p FROM r5""",
-    lambda t, tr: postprocess.all_rules(t, tr),
+    lambda t, tr: postprocess.all_rules(t, tr, POST),
 )
 
 
 @query("trend_factor", _LAG + " SELECT geohash, round(sf, 6) AS sf FROM sf")
 def trend_factor(spark, d):
-    return postprocess.trend_factors(train_test(spark, d)[0]).select("geohash", *r6("sf"))
+    return postprocess.trend_factors(train_test(spark, d)[0], POST).select("geohash", *r6("sf"))
 
 
 # ---- models ----------------------------------------------------------------
@@ -458,10 +480,14 @@ def blend_gram(spark, d):
     return g.select(*[F.round(c, 4).alias(c) for c in g.columns if c != "n"], "n")
 
 
-@query("blend_weights")
+#: Of two predictions the best share is a quotient, held within 0 and 1.
+@query("blend_weights", """, t AS (SELECT demand AS y, p, (time_slot + 1) / 200.0 AS q FROM obs),
+s AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy, sum(y * y) AS yy, sum(y) AS y, count(*) AS n FROM t),
+w AS (SELECT *, least(greatest((py - qy + qq - pq) / (pp - 2 * pq + qq), 0), 1) AS w FROM s)
+SELECT round(w, 6) AS w_p, round(1 - w, 6) AS w_q, round(1 - (w * w * pp + 2 * w * (1 - w) * pq + (1 - w) * (1 - w) * qq - 2 * w * py - 2 * (1 - w) * qy + yy) / (yy - y * y / n), 6) AS r2 FROM w""")
 def blend_weights(spark, d):
     weights, r2 = models.blend_weights(_two(spark, d), "demand", _P)
-    return spark.createDataFrame([(weights["p"], weights["q"], r2)], "w_p double, w_q double, r2 double")
+    return spark.createDataFrame([(weights["p"], weights["q"], r2)], "w_p double, w_q double, r2 double").select(*r6("w_p", "w_q", "r2"))
 
 
 @query("time_split", "SELECT CAST(day AS INT) AS day, count(*) AS n FROM train WHERE day IN (28, 29) GROUP BY day")
@@ -479,7 +505,7 @@ def feature_matrix(spark, d):
 @query("train_score")
 def train_score(spark, d):
     train, test = (x.drop("p", "road_type", "weather") for x in train_test(spark, d))
-    return scoring.train_score(train, test).predictions
+    return scoring.train_score(train, test, pcfg=POST).predictions
 
 
 @query("downcast_plan", "SELECT * FROM (VALUES ('demand', 'float'), ('hour', 'byte'), ('lanes', 'byte'), ('time_slot', 'byte'), ('temperature', 'float')) t(\"column\", type)")
