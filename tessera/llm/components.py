@@ -7,6 +7,7 @@ two numbers a round.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,26 @@ from tessera.llm.keyed import ID, KEY
 from tessera.llm.workspace import stage
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (root, node) with the same components as the links (u, v)."""
+    nodes, flat = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, label[a], low)
+        np.minimum.at(now, label[b], low)
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    move = label != np.arange(len(nodes))
+    return nodes[label[move]], nodes[move]
+
+
 #: Tasks over which the rows of one key are dealt.
 SALTS = 16
 _SALT = "__salt"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import SPACES, Words, blocks, text_buffers
-from tessera.llm.components import components, with_component
+from tessera.llm.components import components, forest, with_component
 from tessera.llm.jaccard import near_components
 from tessera.llm.keyed import ID, KEY, TEXT, free, key_of, keyed, matched
 from tessera.llm.workspace import stage
@@ -83,26 +83,6 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (root, node) with the same components as the links (u, v)."""
-    nodes, flat = np.unique(np.r_[u, v], return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        now = label.copy()
-        np.minimum.at(now, label[a], low)
-        np.minimum.at(now, label[b], low)
-        np.minimum.at(now, a, low)
-        np.minimum.at(now, b, low)
-        now = now[now]
-        if (now == label).all():
-            break
-        label = now
-    move = label != np.arange(len(nodes))
-    return nodes[label[move]], nodes[move]
-
-
 def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
@@ -146,10 +126,10 @@ def _compare(radius: int):
                     us.append(u[keep]), vs.append(v[keep])
                     n += int(keep.sum())
                     if n > 4 * STEP:
-                        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                        u, v = forest(np.concatenate(us), np.concatenate(vs))
                         us, vs, n = [u], [v], len(u)
                 if n:
-                    u, v = _forest(np.concatenate(us), np.concatenate(vs))
+                    u, v = forest(np.concatenate(us), np.concatenate(vs))
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return run
