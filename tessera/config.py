@@ -23,7 +23,8 @@ class FeatureConfig:
     evening_slots: tuple[int, int] = (68, 80)
     folds: int = 2
     seed: int = 42
-    categories: tuple[str, ...] = ("road_type", "weather")
+    #: Those of them that a panel has are encoded.
+    categories: tuple[str, ...] = ("road_type", "weather", "vehicles", "landmarks")
     #: "reference" fills train nulls with 0 and test nulls with the global mean; "consistent" uses the mean for both.
     fill_policy: str = "reference"
 

@@ -12,12 +12,17 @@ def label_codes(df: DataFrame, column: str, null_class: str = "nan") -> DataFram
     return values.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
 
 
-def apply_labels(df: DataFrame, codes: DataFrame, column: str, name: str, unknown: str = "Unknown", null_class: str = "nan") -> DataFrame:
-    """Codes of ``column``; what is unseen takes the code of ``unknown``, else 0."""
-    fallback = codes.agg(F.coalesce(F.max(F.when(F.col("value") == unknown, F.col("code"))), F.lit(0)).alias("_f"))
+def unseen_code(codes: DataFrame, unknown: str = "Unknown") -> int:
+    """The code of ``unknown``, else 0."""
+    return codes.filter(F.col("value") == unknown).agg(F.max("code")).first()[0] or 0
+
+
+def apply_labels(df: DataFrame, codes: DataFrame, column: str, name: str, unknown: str = "Unknown", null_class: str = "nan", fallback: int | None = None) -> DataFrame:
+    """Codes of ``column``; what is unseen takes ``fallback``, or if that is not given the code of ``unknown``, else 0."""
+    fallback = unseen_code(codes, unknown) if fallback is None else fallback
     seen = codes.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
     joined = df.join(seen, F.coalesce(F.col(column).cast("string"), F.lit(null_class)) == F.col("_v"), "left")
-    return joined.crossJoin(F.broadcast(fallback)).withColumn(name, F.coalesce("_c", "_f")).drop("_v", "_c", "_f")
+    return joined.withColumn(name, F.coalesce("_c", F.lit(fallback))).drop("_v", "_c")
 
 
 def target_means(df: DataFrame, column: str, target: str = "demand") -> DataFrame:
@@ -40,6 +45,11 @@ def oof_encode(df: DataFrame, column: str, name: str, fold: str = "fold", target
 
 
 def apply_target_means(df: DataFrame, train: DataFrame, column: str, name: str, target: str = "demand") -> DataFrame:
-    means = target_means(train, column, target)
     mean = train.agg(F.avg(target).alias("_m"))
-    return df.join(means, column, "left").crossJoin(F.broadcast(mean)).withColumn(name, F.coalesce("_te", "_m")).drop("_te", "_m")
+    joined = df.join(target_means(train, column, target), column, "left").crossJoin(F.broadcast(mean))  # one row
+    return joined.withColumn(name, F.coalesce("_te", "_m")).drop("_te", "_m")
+
+
+def apply_means(df: DataFrame, means: DataFrame, mean: float, column: str, name: str) -> DataFrame:
+    """The same from means that are fitted already."""
+    return df.join(means, column, "left").withColumn(name, F.coalesce("_te", F.lit(mean))).drop("_te")

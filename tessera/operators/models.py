@@ -72,9 +72,20 @@ def blend(df: DataFrame, weights: dict[str, float], name: str = "prediction") ->
     return df.withColumn(name, E.clip(total))
 
 
+#: Boosting rounds at most.
+ROUNDS = 2000
+#: Fixed values of three boosted learners: depth, step, share of rows and of columns, rows of a leaf at least.
+PRESETS = {
+    "leafy": {"depth": 6, "rate": 0.03, "rows": 0.85, "columns": 0.85, "leaf": 20},
+    "deep": {"depth": 7, "rate": 0.03, "rows": 0.85, "columns": 0.85, "leaf": 5},
+    "smooth": {"depth": 8, "rate": 0.03, "rows": 0.85, "columns": 1.0, "leaf": 1},
+}
+_BOOSTED = {"depth": 5, "rate": 0.1, "rows": 0.85, "columns": 1.0, "leaf": 1}
+
+
 @dataclass
 class Learner:
-    """A boosted, forest or linear regressor over assembled features.
+    """A boosted (``boosted`` or a preset), forest or linear regressor over assembled features.
 
     Nulls become a sentinel with a flag beside it, as these learners have no
     missing values of their own.
@@ -88,6 +99,10 @@ class Learner:
     depth: int = 5
     seed: int = 42
 
+    @property
+    def boosted(self) -> bool:
+        return self.kind == "boosted" or self.kind in PRESETS
+
     def _assemble(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
@@ -98,8 +113,12 @@ class Learner:
         from pyspark.ml import regression as R
 
         common = {"featuresCol": "_features", "labelCol": self.label, "predictionCol": "_p"} | ({"weightCol": self.weight} if self.weight else {})
-        if self.kind == "boosted":
-            return R.GBTRegressor(maxIter=rounds, maxDepth=self.depth, stepSize=0.1, subsamplingRate=0.85, seed=self.seed, **common)
+        if self.boosted:
+            how = PRESETS.get(self.kind, _BOOSTED | {"depth": self.depth})
+            return R.GBTRegressor(
+                maxIter=rounds, maxDepth=how["depth"], stepSize=how["rate"], subsamplingRate=how["rows"], minInstancesPerNode=how["leaf"],
+                featureSubsetStrategy="all" if how["columns"] == 1 else str(how["columns"]), seed=self.seed, **common,
+            )
         if self.kind == "forest":
             return R.RandomForestRegressor(numTrees=rounds, maxDepth=self.depth, seed=self.seed, **common)
         if self.kind == "linear":
@@ -111,7 +130,7 @@ class Learner:
         data = self._assemble(train)
         model = self._estimator(self.rounds).fit(data)
         best = self.rounds
-        if validation is not None and self.kind == "boosted":
+        if validation is not None and self.boosted:
             errors = model.evaluateEachIteration(self._assemble(validation), "squared")
             best = int(np.argmin(errors)) + 1
         return Fitted(self, model, best)

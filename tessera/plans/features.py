@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tessera.config import FeatureConfig
 from tessera.functions import exprs as E
 from tessera.operators import cleaning, encoding, spatial, timeseries
+from tessera.sources.scratch import staged
 
-_NOT_FEATURES = {"idx", "Index", "geohash", "ts_hm", "timestamp", "demand", "road_raw", "weather_raw", "road_type", "weather", "fold", "row_id"}
+_NOT_FEATURES = {"idx", "Index", "geohash", "ts_hm", "timestamp", "demand", "road_raw", "weather_raw", "vehicles_raw", "landmarks_raw", "road_type", "weather", "vehicles", "landmarks", "fold", "row_id"}
 
 
-def feature_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in _NOT_FEATURES]
+def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    return [c for c in df.columns if c not in _NOT_FEATURES and c not in exclude]
 
 
 def interactions(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
@@ -36,7 +37,7 @@ def interactions(df: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFra
 
 @dataclass(frozen=True)
 class FeatureModel:
-    """What fitting leaves: small tables and scalars.  Only ``fit`` makes one."""
+    """What fitting leaves: scalars, and small tables that are staged, so no use of one computes it again.  Only ``fit`` makes one."""
 
     cfg: FeatureConfig
     medians: cleaning.Medians
@@ -44,6 +45,9 @@ class FeatureModel:
     centers: DataFrame
     edges: DataFrame
     codes: dict[str, DataFrame]
+    unseen: dict[str, int]
+    means: dict[str, DataFrame]
+    slots: DataFrame  # mean demand of every cell, day and slot
     train: DataFrame
     mean: float
 
@@ -52,7 +56,7 @@ class FeatureModel:
         df = cleaning.impute_mode(self.medians.transform(df), self.roads, "geohash", "road_type")
         df = spatial.nearest_center(cleaning.decode_coordinates(df), self.centers)
         for column, table in self.codes.items():
-            df = encoding.apply_labels(df, table, column, "geohash_id" if column == "geohash" else f"{column}_enc")
+            df = encoding.apply_labels(df, table, column, "geohash_id" if column == "geohash" else f"{column}_enc", fallback=self.unseen[column])
         return df
 
     def _fill(self, df: DataFrame, train: bool) -> DataFrame:
@@ -64,15 +68,15 @@ class FeatureModel:
         df = timeseries.lag_stats(timeseries.positional_lags(df, self.cfg.lags), self.cfg.lags)
         return timeseries.regional_lags(df, self.cfg.regional_lags)
 
-    def _looked_up(self, df: DataFrame, ref: DataFrame) -> DataFrame:
-        df = spatial.knn_lag(df, ref, self.edges)
-        return timeseries.diurnal(timeseries.today_lags(df, ref, self.cfg.today_slots), ref, self.cfg.half_window)
+    def _looked_up(self, df: DataFrame) -> DataFrame:
+        df = spatial.knn_lag(df, self.slots, self.edges)
+        return timeseries.diurnal(timeseries.today_lags(df, self.slots, self.cfg.today_slots), self.slots, self.cfg.half_window)
 
     def transform_train(self) -> DataFrame:
         """Train features; its target encodings leave the row's own fold out."""
-        df = self._fill(self._looked_up(self._lagged(self._common(self.train)), self.train), True)
-        df = timeseries.contiguous_folds(df, self.cfg.folds)
-        for c in ("geohash", *self.cfg.categories):
+        df = self._fill(self._looked_up(self._lagged(self._common(self.train))), True)
+        df = staged(timeseries.contiguous_folds(df, self.cfg.folds), "folded")
+        for c in self.codes:
             df = encoding.oof_encode(df, c, f"{c}_te")
         return interactions(df, self.cfg)
 
@@ -81,9 +85,9 @@ class FeatureModel:
         known = self._common(self.train)
         mine = self._common(df.drop("demand"))
         df = timeseries.with_history(known, mine, self._lagged).drop("demand")
-        df = self._fill(self._looked_up(df, self.train), False)
-        for c in ("geohash", *self.cfg.categories):
-            df = encoding.apply_target_means(df, prepare(self.train), c, f"{c}_te")
+        df = self._fill(self._looked_up(df), False)
+        for c, means in self.means.items():
+            df = encoding.apply_means(df, means, self.mean, c, f"{c}_te")
         return interactions(df, self.cfg)
 
 
@@ -91,14 +95,19 @@ def prepare(df: DataFrame) -> DataFrame:
     """Cleaned categories; missing road types stay null for the modal imputation."""
     if "road_type" in df.columns:
         return df
-    return cleaning.clean_categories(cleaning.clean_categories(df, {"road_type": "road_raw"}, None), {"weather": "weather_raw"})
+    others = {new: raw for new, raw in (("weather", "weather_raw"), ("vehicles", "vehicles_raw"), ("landmarks", "landmarks_raw")) if raw in df.columns}
+    return cleaning.clean_categories(cleaning.clean_categories(df, {"road_type": "road_raw"}, None), others)
 
 
 def fit(train: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> FeatureModel:
+    """Everything that transforming needs, each table read from train once and staged."""
     clean = prepare(train)
-    cells = spatial.centroids(clean)
-    codes = {c: encoding.label_codes(clean, c) for c in ("geohash", *cfg.categories)}
+    columns = ["geohash", *[c for c in cfg.categories if c in clean.columns]]
+    cells = staged(spatial.centroids(clean), "cells")
+    codes = {c: staged(encoding.label_codes(clean, c), "codes") for c in columns}
+    slots = clean.groupBy("geohash", "day", "time_slot").agg(F.avg("demand").alias("demand"))
     return FeatureModel(
-        cfg, cleaning.fit_medians(clean.select("lanes", "temperature")), cleaning.fit_mode(clean, "geohash", "road_type"), spatial.kmeans_centers(cells, cfg.clusters, cfg.seed),
-        spatial.knn_edges(cells, cfg.neighbours), codes, train, train.agg(F.avg("demand")).first()[0] or 0.0,
+        cfg, cleaning.fit_medians(clean.select("lanes", "temperature")), staged(cleaning.fit_mode(clean, "geohash", "road_type"), "roads"), spatial.kmeans_centers(cells, cfg.clusters, cfg.seed),
+        staged(spatial.knn_edges(cells, cfg.neighbours), "edges"), codes, {c: encoding.unseen_code(t) for c, t in codes.items()},
+        {c: staged(encoding.target_means(clean, c), "means") for c in columns}, staged(slots, "slots"), train, train.agg(F.avg("demand")).first()[0] or 0.0,
     )

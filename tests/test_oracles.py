@@ -25,8 +25,6 @@ def rows(columns, data):
 
 
 def same(a, b):
-    if isinstance(a, float) and isinstance(b, float):
-        return abs(a - b) <= 2e-6
     return a == b and type(a) is type(b)
 
 

@@ -86,7 +86,74 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "qp03xw", 3, "2:15", 0.5)], "Index long, geohash string, day int, timestamp string, demand double")
     tables.save(df, f"{tmp_path}/x", "csv")
     assert [tuple(r) for r in tables.read_csv(spark, f"{tmp_path}/x").collect()] == [(1, "qp03xw", 3, "2:15", 0.5)]
+    with pytest.raises(ValueError):
+        tables.save_submission(df, f"{tmp_path}/s")
     tables.save_submission(df.withColumn("time_slot", F.lit(9)), f"{tmp_path}/s")
     assert spark.read.option("header", True).csv(f"{tmp_path}/s").columns == ["Index", "demand"]
     with pytest.raises(ValueError):
         tables.save(df, f"{tmp_path}/y", "xml")
+
+
+def test_folds_are_exact_over_many_partitions(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("8", "false")):
+            spark.conf.set(n, v)
+        rows = spark.range(5003).select(
+            F.col("id").alias("idx"), (F.col("id") % 7).cast("int").alias("day"), (F.col("id") % 13).cast("int").alias("time_slot"), F.repeat(F.col("id").cast("string"), 40).alias("wide"), F.sha2(F.col("id").cast("string"), 512).alias("w2")
+        )
+        folded = timeseries.contiguous_folds(rows.repartition(4, "w2"), 5)
+        want = sorted(range(5003), key=lambda i: (i % 7, i % 13, i))
+        fold = {i: k for k, part in enumerate(np.array_split(np.array(want), 5)) for i in part.tolist()}
+        assert {r.idx: r.fold for r in folded.select("idx", "fold").collect()} == fold
+        slots = [(i, i // 96 + (5 if i % 70_000 == 7 else 0), i % 96) for i in [*range(300), *range(65_500, 65_600), *range(140_000, 140_050)]]
+        table = spark.createDataFrame(slots, "idx long, day int, time_slot int").repartition(4)
+        breaks = sum(a[1] * 100 + a[2] > b[1] * 100 + b[2] for a, b in zip(slots, slots[1:]))
+        assert timeseries.chronology_breaks(table).first()["breaks"] == breaks == 2
+        assert timeseries.chronology_breaks(table.limit(0)).first()["breaks"] == 0
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
+def test_downcast_keeps_what_a_float_cannot_hold(spark):
+    df = spark.createDataFrame([(1e300, 1.5, 200), (None, -2.0, -3)], "a double, b double, c long")
+    assert cleaning.downcast_plan(df) == {"a": "double", "b": "float", "c": "short"}
+
+
+def test_jobs_from_raw_files_to_submission(spark, tmp_path):
+    from tessera import cli
+
+    cells = ["qp03xw", "qp03w9", "qp03wz", "qp09d9", "qp03zy", "qp03xn"]
+    header = "Index,geohash,day,timestamp,demand,RoadType,NumberofLanes,LargeVehicles,Landmarks,Temperature,Weather\n"
+    rows = {"train": [], "test": [], "sample": []}
+    for k, cell in enumerate(cells):
+        for day, slots in ((48, range(0, 96, 4)), (49, range(0, 20, 2))):
+            for s in slots:
+                part = "test" if day == 49 and s > 8 else "train"
+                n = len(rows[part])
+                rows[part].append(f"{n},{cell},{day},{s // 4}:{s % 4 * 15},{'' if part == 'test' else (k + 1) * (s + 1) / 1000},{['highway', '', 'Street'][k % 3]},{k % 5 + 1},{['yes', 'no'][k % 2]},{['mall', ''][s % 2]},{'' if n % 9 == 0 else 20 + s / 10},{['Sunny', 'rainy'][s % 3 % 2]}")
+    rows["sample"] = [f"{n},0.0" for n in range(len(rows["test"]))]
+    for name, lines in rows.items():
+        (tmp_path / f"{name}.csv").write_text(("Index,demand\n" if name == "sample" else header) + "\n".join(lines) + "\n")
+    log = ["--log-dir", f"{tmp_path}/logs"]
+    raw = ["--train-path", f"{tmp_path}/train.csv", "--test-path", f"{tmp_path}/test.csv"]
+    made = cli.main(["preprocess", *raw, "--output-dir", f"{tmp_path}/p", "--run-eda", *log])
+    assert spark.read.parquet(made["train"]).filter("temperature is null or latitude is null").count() == 0
+    text = "".join(p.read_text() for p in (tmp_path / "p/eda/report").glob("part-*"))
+    assert all(f"## {section}" in text for section in ("Risks", "Basic statistics", "Distribution and outliers", "Time", "Places", "Correlations")) and "month" in text
+    args = ["--train-path", made["train"], "--test-path", made["test"], "--submission-path", f"{tmp_path}/sample.csv", "--output-dir", f"{tmp_path}/out", "--rounds", "2", "--models", "deep", "linear", *log]
+    facts = cli.main(["train-tuned", *args])
+    assert set(facts["blend_weights"]) == {"deep", "linear"} == set(facts["cv_scores"]) and abs(sum(facts["blend_weights"].values()) - 1) < 1e-9
+    latest = spark.read.option("header", True).csv(f"{tmp_path}/out/submission_latest.csv")
+    assert latest.columns == ["Index", "demand"] and latest.count() == len(rows["test"])
+    assert latest.filter("cast(demand as double) not between 0 and 1 or demand is null").count() == 0
+    assert not tables.matches_sample(spark, latest.limit(3), f"{tmp_path}/sample.csv")
+    assert list((tmp_path / "logs").glob("run_*.log"))
+
+
+def test_presets_reach_the_estimator():
+    learner = models.Learner("deep", ["a"])
+    pytest.importorskip("pyspark.ml")
+    assert models.PRESETS["deep"]["depth"] == 7 and learner.boosted and not models.Learner("forest", ["a"]).boosted
