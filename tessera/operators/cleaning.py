@@ -52,8 +52,15 @@ def impute_mode(df: DataFrame, modes: DataFrame, key: str, value: str) -> DataFr
     return df.join(modes, key, "left").withColumn(value, F.coalesce(value, "mode")).drop("mode")
 
 
-def decode_coordinates(df: DataFrame, geohash: str = "geohash") -> DataFrame:
-    """latitude and longitude of the cell's centre; each distinct geohash is decoded once, and Spark broadcasts them if they are few."""
+def decode_coordinates(df: DataFrame, geohash: str = "geohash", known: DataFrame | None = None) -> DataFrame:
+    """latitude and longitude of the cell's centre; each distinct geohash is decoded once, and Spark broadcasts them if they are few.
+
+    With a table of ``known`` cells (geohash, latitude, longitude) only rows of other cells are decoded.
+    """
+    if known is not None:
+        found = known.select(F.col("geohash").alias("_g"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+        joined = df.drop("latitude", "longitude").join(found, F.col(geohash) == F.col("_g"), "left")
+        return joined.withColumns({"latitude": F.coalesce("_lat", E.geohash_lat(geohash)), "longitude": F.coalesce("_lon", E.geohash_lon(geohash))}).drop("_g", "_lat", "_lon")
     cells = df.select(F.col(geohash).alias("_g")).distinct().select("_g", E.geohash_lat("_g").alias("latitude"), E.geohash_lon("_g").alias("longitude"))
     kept = df.drop("latitude", "longitude")
     return kept.join(cells, kept[geohash].eqNullSafe(cells["_g"]), "left").drop("_g")

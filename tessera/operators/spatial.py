@@ -34,11 +34,14 @@ def knn_lag(df: DataFrame, ref: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def nearest_center(df: DataFrame, centers: DataFrame) -> DataFrame:
-    """spatial_cluster and dist_to_centroid (degrees), from (cluster, clat, clon): a handful of rows."""
-    cells = df.select("geohash", "latitude", "longitude").distinct()
-    d = F.sqrt(F.pow(F.col("latitude") - F.col("clat"), 2) + F.pow(F.col("longitude") - F.col("clon"), 2))
-    best = cells.crossJoin(F.broadcast(centers)).groupBy("geohash").agg(F.min(F.struct(d.alias("d"), "cluster")).alias("b"))
-    return df.join(best.select("geohash", F.col("b.cluster").alias("spatial_cluster"), F.col("b.d").alias("dist_to_centroid")), "geohash", "left")
+    """spatial_cluster and dist_to_centroid (degrees), from (cluster, clat, clon).
+
+    The centres, a handful of rows, become part of the expression, so no join is needed.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    away = [F.struct(F.sqrt(F.pow(lat - r["clat"], 2) + F.pow(lon - r["clon"], 2)).alias("d"), F.lit(r["cluster"]).alias("cluster")) for r in centers.collect()]
+    best = F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(F.array(*away)))
+    return df.withColumn("_b", best).withColumns({"spatial_cluster": F.col("_b.cluster"), "dist_to_centroid": F.col("_b.d")}).drop("_b")
 
 
 def kmeans_centers(cells: DataFrame, k: int = 6, seed: int = 42) -> DataFrame:

@@ -42,6 +42,7 @@ class FeatureModel:
     cfg: FeatureConfig
     medians: cleaning.Medians
     roads: DataFrame
+    cells: DataFrame
     centers: DataFrame
     edges: DataFrame
     codes: dict[str, DataFrame]
@@ -54,7 +55,7 @@ class FeatureModel:
     def _common(self, df: DataFrame) -> DataFrame:
         df = cleaning.time_features(prepare(df))
         df = cleaning.impute_mode(self.medians.transform(df), self.roads, "geohash", "road_type")
-        df = spatial.nearest_center(cleaning.decode_coordinates(df), self.centers)
+        df = spatial.nearest_center(cleaning.decode_coordinates(df, known=self.cells), self.centers)
         for column, table in self.codes.items():
             df = encoding.apply_labels(df, table, column, "geohash_id" if column == "geohash" else f"{column}_enc", fallback=self.unseen[column])
         return df
@@ -65,7 +66,8 @@ class FeatureModel:
         return df.fillna(value, lagged).fillna(0.0, [c for c in ("knn_lag96_std", "demand_yesterday_rolling_std_9") if c in df.columns])
 
     def _lagged(self, df: DataFrame) -> DataFrame:
-        df = timeseries.lag_stats(timeseries.positional_lags(df, self.cfg.lags), self.cfg.lags)
+        # staged, as the regional means join it with its own aggregates
+        df = staged(timeseries.lag_stats(timeseries.positional_lags(df, self.cfg.lags), self.cfg.lags), "lagged")
         return timeseries.regional_lags(df, self.cfg.regional_lags)
 
     def _looked_up(self, df: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def fit(train: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> FeatureModel:
     codes = {c: staged(encoding.label_codes(clean, c), "codes") for c in columns}
     slots = clean.groupBy("geohash", "day", "time_slot").agg(F.avg("demand").alias("demand"))
     return FeatureModel(
-        cfg, cleaning.fit_medians(clean.select("lanes", "temperature")), staged(cleaning.fit_mode(clean, "geohash", "road_type"), "roads"), spatial.kmeans_centers(cells, cfg.clusters, cfg.seed),
+        cfg, cleaning.fit_medians(clean.select("lanes", "temperature")), staged(cleaning.fit_mode(clean, "geohash", "road_type"), "roads"), cells, spatial.kmeans_centers(cells, cfg.clusters, cfg.seed),
         staged(spatial.knn_edges(cells, cfg.neighbours), "edges"), codes, {c: encoding.unseen_code(t) for c, t in codes.items()},
         {c: staged(encoding.target_means(clean, c), "means") for c in columns}, staged(slots, "slots"), train, train.agg(F.avg("demand")).first()[0] or 0.0,
     )
