@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur earlier, by a family of hash-ordered suffix indexes.
+"""Removal of byte strings that occur earlier, by a logarithmic family of suffix arrays.
 
 A string here is ``LENGTH`` bytes of UTF-8.  Each is assigned to its anchor,
 its least ``GRAM`` byte sub-run, and the consecutive strings of one anchor
@@ -6,14 +6,13 @@ travel together with their bytes as one *context*, so that all occurrences of
 a string meet in one shard.  Strings whose anchor the corpus-wide count-min
 sketch shows only once cannot repeat and are never sent.
 
-A shard reads its contexts in document order.  Each new batch gets an index in
-place of a suffix array: positions sorted by a key of the leading two bytes and
-a fingerprint of all ``LENGTH``, which makes equal strings adjacent but is not
-the order of the bytes, as only equality of ``LENGTH`` bytes is asked.  The
-batch is searched for equal keys within itself and in every existing level;
-each match is confirmed on the bytes.  What is new becomes a level, and
-levels of equal size merge, so a shard keeps O(log n) levels, each string
-once.
+A shard reads its contexts in document order.  Each new batch gets a suffix
+array: its positions in the order of the ``LENGTH`` bytes that begin there,
+sorted by eight bytes at a time among those still tied.  The sorted batch is
+scanned against every existing level, itself sorted the same way, for matches
+of ``LENGTH`` bytes.  What is new becomes a level, and levels of equal size
+merge, so a shard keeps O(log n) levels, each string once.  All comparisons
+are of bytes; hashes only route, and group contexts whose bytes are compared.
 
 Defined cases: null texts are empty; documents shorter than ``LENGTH`` are
 kept whole; order is (id, text hash, start), null ids last; a row repeated
@@ -38,7 +37,9 @@ LAST_ID = np.iinfo(np.int64).max
 #: Bytes of text whose contexts are compared before any is sent.
 BATCH = 8 << 20
 #: Suffixes of a level-0 array.
-LEVEL0 = 1 << 17
+LEVEL0 = 1 << 19
+#: Strings whose bytes are gathered at a time.
+GATHER = 1 << 15
 _ORDER = U64(0xBF58476D1CE4E5B9)
 
 
@@ -85,7 +86,8 @@ _SENT = pa.schema([("g", pa.int64()), (ID, pa.int64()), (KEY, pa.int64()), ("sta
 
 
 def _settle(parts: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    """Send each distinct context of a batch once; repeats of it become removed spans (without bytes)."""
+    """Send each distinct context of a batch once; repeats of it become removed spans (without bytes).
+    A repeat is found by two hashes and confirmed on its bytes."""
     g, c1, c2, doc, key, start, n, block = (np.concatenate(x) for x in zip(*(p[:8] for p in parts), strict=True))
     raw = [p[8] for p in parts]
     place = np.concatenate([p[9] for p in parts])
@@ -95,8 +97,16 @@ def _settle(parts: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     same = (doc[order] == doc[head]) & (key[order] == key[head]) & (start[order] == start[head])
     send = order[new]
-    context: list[bytes | None] = [raw[block[i]][place[i] : place[i] + n[i] + length - 1].tobytes() for i in send]
-    gone = order[~new & ~same]
+
+    def content(i: int) -> bytes:
+        return raw[block[i]][place[i] : place[i] + n[i] + length - 1].tobytes()
+
+    context: list[bytes | None] = [content(i) for i in send]
+    repeat = ~new & ~same
+    gone = order[repeat]
+    equal = np.fromiter((content(i) == context[k] for i, k in zip(gone, (np.cumsum(new) - 1)[repeat], strict=True)), bool, len(gone))
+    context += [content(i) for i in gone[~equal]]
+    send, gone = np.r_[send, gone[~equal]], gone[equal]
     context += [None] * len(gone)
     both = np.r_[send, gone]
     route = g[both].view(np.int64).copy()
@@ -135,64 +145,144 @@ def _contexts(shared, width: int, length: int, gram: int):
     return run
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as a number that orders as they do."""
+    padded = np.r_[text, np.zeros(8, np.uint8)]
+    return np.ndarray((len(text),), ">u8", padded, strides=(1,))
+
+
+def _steps(length: int) -> list[int]:
+    """Offsets whose eight bytes together are the ``length`` bytes of a string, in order."""
+    return [min(d, length - 8) for d in range(0, length, 8)]
+
+
+def _compare(text_a: np.ndarray, a: np.ndarray, text_b: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """-1, 0 or 1 as the string at each place of ``a`` is below, equal to or above that of ``b``."""
+    out = np.empty(len(a), np.int8)
+    strings_a, strings_b = (np.lib.stride_tricks.sliding_window_view(x, length) for x in (text_a, text_b))
+    for i in range(0, len(a), GATHER):
+        x, y = strings_a[a[i : i + GATHER]], strings_b[b[i : i + GATHER]]
+        differ = x != y
+        row, byte = np.arange(len(x)), differ.argmax(1)
+        x, y = x[row, byte], y[row, byte]
+        out[i : i + GATHER] = (x > y).astype(np.int8) - (x < y)
+    return out
+
+
+def suffix_array(text: np.ndarray, words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lead): ``at`` sorted by its strings, and where in that order a new string begins."""
+    key = words[at].astype(U64)
+    order = np.argsort(key)
+    key = key[order]
+    lead = np.r_[True, key[1:] != key[:-1]]
+    tied = np.flatnonzero(~lead | ~np.r_[lead[1:], True])
+    for depth, step in enumerate(_steps(length)[1:], 1):
+        if depth & depth - 1 == 0 and len(tied):  # after 1, 2, 4, 8 words: leave groups that are one string
+            head = np.maximum.accumulate(np.where(lead[tied], tied, 0))
+            unequal = _compare(text, at[order[tied]], text, at[order[head]], length) != 0
+            mixed = np.zeros(len(order), bool)
+            mixed[head[unequal]] = True
+            tied = tied[mixed[head]]
+        if not len(tied):
+            break
+        word = words[at[order[tied]] + step].astype(U64)
+        group = np.cumsum(lead[tied])
+        turn = np.lexsort((word, group))
+        order[tied] = order[tied][turn]
+        word = word[turn]
+        lead[tied] |= np.r_[True, word[1:] != word[:-1]]
+        tied = tied[~lead[tied] | ~np.r_[lead[1:], True][tied]]
+    return order, lead
+
+
+class Level:
+    """A suffix array of distinct strings: their places in ``text`` in the order of their bytes."""
+
+    def __init__(self, text: np.ndarray, places: np.ndarray, key: np.ndarray | None = None, words: np.ndarray | None = None):
+        self.text, self.places = text, places
+        self.words = _words(text) if words is None else words
+        self.key = self.words[places].astype(U64) if key is None else key
+
+    def _bound(self, word: np.ndarray, step: int, low: np.ndarray, high: np.ndarray, above: bool) -> np.ndarray:
+        """First rank in [low, high) whose word at ``step`` is at least (``above``: more than) ``word``."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            here = self.words[self.places[middle] + step].astype(U64)
+            up = here <= word[open_] if above else here < word[open_]
+            low[open_[up]] = middle[up] + 1
+            high[open_[~up]] = middle[~up]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def scan(self, other: "Level", length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, found): where each string of ``other``, in order, stands or would stand here, and whether it does."""
+        rank = np.searchsorted(self.key, other.key)
+        found = np.zeros(len(rank), bool)
+        live = np.flatnonzero(rank < len(self.key))
+        live = live[self.key[rank[live]] == other.key[live]]
+        high = np.searchsorted(self.key, other.key[live], "right")
+        for step in [*_steps(length)[1:], None]:
+            single = high - rank[live] == 1
+            if single.any():
+                one = live[single]
+                side = _compare(other.text, other.places[one], self.text, self.places[rank[one]], length)
+                found[one[side == 0]] = True
+                rank[one[side > 0]] += 1
+            live, high = live[~single], high[~single]
+            if not len(live) or step is None:
+                break
+            word = other.words[other.places[live] + step].astype(U64)
+            low = rank[live]
+            rank[live] = self._bound(word, step, low, high, False)
+            high = self._bound(word, step, rank[live], high, True)
+            still = high > rank[live]
+            live, high = live[still], high[still]
+        return rank, found
+
+    def merge(self, other: "Level", length: int) -> "Level":
+        """Both in one order; they share no string."""
+        spot = self.scan(other, length)[0] + np.arange(len(other.places))
+        mine = np.ones(len(self.places) + len(other.places), bool)
+        mine[spot] = False
+        places, key = np.empty(len(mine), np.int64), np.empty(len(mine), U64)
+        places[mine], places[spot] = self.places, other.places + len(self.text)
+        key[mine], key[spot] = self.key, other.key
+        return Level(np.r_[self.text, other.text], places, key)
+
+
 class SuffixFamily:
     """Suffix arrays of a shard, of geometrically growing sizes."""
 
     def __init__(self, length: int):
+        if length < 8:
+            raise ValueError("strings of at least 8 bytes are compared")
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted keys, positions, text
-
-    def _equal(self, text_a: np.ndarray, a: np.ndarray, text_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a), bool)
-        reach = np.arange(self.length)
-        for i in range(0, len(a), 1 << 15):
-            s = slice(i, i + (1 << 15))
-            out[s] = (text_a[a[s, None] + reach] == text_b[b[s, None] + reach]).all(1)
-        return out
+        self.levels: list[Level] = []
 
     def add(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """For the strings at ``at`` (in document order): the place in ``at`` of the first equal
         one in this batch, or -1 where a level already holds it.  What is new becomes a level."""
-        lead = text[at].astype(U64) << U64(56) | text[at + 1].astype(U64) << U64(48)
-        key = lead | run_hash(prefix(BYTE_CODE[text]), at, at + self.length) >> U64(16)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        head = np.maximum.accumulate(np.where(np.r_[True, sorted_key[1:] != sorted_key[:-1]], np.arange(len(order)), 0))
+        words = _words(text)
+        order, lead = suffix_array(text, words, at, self.length)
+        heads = np.minimum.reduceat(order, np.flatnonzero(lead))
+        group = np.cumsum(lead) - 1
+        new = np.ones(len(heads), bool)
+        batch = Level(text, at[heads], words=words)
+        for level in self.levels:
+            new &= ~level.scan(batch, self.length)[1]
         first = np.empty(len(at), np.int64)
-        first[order] = order[head]
-        repeat = np.flatnonzero(first != np.arange(len(at)))
-        false = repeat[~self._equal(text, at[repeat], text, at[first[repeat]])] if len(repeat) else repeat
-        for i in false:  # two strings under one key: found by their bytes
-            same = [j for j in np.flatnonzero(key == key[i]) if bytes(text[at[j] : at[j] + self.length]) == bytes(text[at[i] : at[i] + self.length])]
-            first[i] = same[0]
-        own = order[first[order] == order]
-        for keys, places, held in self.levels:
-            low = np.searchsorted(keys, key[own])
-            known = np.zeros(len(own), bool)
-            step = 0
-            while True:  # more than one step only where different strings share a key
-                spot = low + step
-                live = np.flatnonzero((spot < len(keys)) & ~known)
-                live = live[keys[spot[live]] == key[own[live]]]
-                if not len(live):
-                    break
-                known[live] = self._equal(text, at[own[live]], held, places[spot[live]])
-                step += 1
-            gone = np.zeros(len(at), bool)
-            gone[own[known]] = True
-            first[gone[np.maximum(first, 0)] & (first >= 0)] = -1
-            own = own[~known]
-        if len(own):
-            self._push(key[own], at[own], text)
+        first[order] = np.where(new, heads, -1)[group]
+        if new.any():
+            self._push(Level(text, batch.places[new], batch.key[new], words))
         return first
 
-    def _push(self, keys: np.ndarray, places: np.ndarray, text: np.ndarray) -> None:
-        self.levels.append((keys, places, text))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            (ka, pa_, ta), (kb, pb, tb) = self.levels[-2:]
-            keys, places = np.r_[ka, kb], np.r_[pa_, pb + len(ta)]
-            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-            self.levels[-2:] = [(keys[order], places[order], np.r_[ta, tb])]
+    def _push(self, level: Level) -> None:
+        self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-1].key) * 2 > len(self.levels[-2].key):
+            newer = self.levels.pop()
+            self.levels[-1] = self.levels[-1].merge(newer, self.length)
 
 
 def _shard(length: int):

@@ -197,6 +197,56 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def suffix_texts():
+    rng = random.Random(3)
+    yield b"a" * 400
+    yield bytes(rng.choice(b"ab") for _ in range(600))
+    block = bytes(rng.choice(b"\x00\xff\x7f") for _ in range(130))
+    yield block + b"q" + block + block[5:] + bytes(200)
+
+
+@pytest.mark.parametrize("length", [8, 13, 40, 100])
+def test_suffix_array_is_the_order_of_the_bytes(length):
+    for text in suffix_texts():
+        data = np.frombuffer(text, np.uint8)
+        at = np.arange(len(text) - length + 1)
+        order, lead = suffix_dedup.suffix_array(data, suffix_dedup._words(data), at, length)
+        strings = [text[i : i + length] for i in at]
+        assert sorted(order) == list(at) and [strings[i] for i in order] == sorted(strings)
+        assert list(lead) == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(len(order))]
+
+
+@pytest.mark.parametrize("length", [8, 40, 100])
+def test_levels_are_scanned_and_merged_in_order(length):
+    def level(text, without=()):
+        places = {text[i : i + length]: i for i in reversed(range(len(text) - length + 1))}
+        kept = sorted(s for s in places if s not in without)
+        return kept, suffix_dedup.Level(np.frombuffer(text, np.uint8), np.array([places[s] for s in kept], np.int64))
+
+    texts = list(suffix_texts())
+    for a in texts:
+        for b in texts:
+            old, first = level(a)
+            new, second = level(b[: len(b) // 2] + a[: len(a) // 2])
+            rank, found = first.scan(second, length)
+            assert list(found) == [s in old for s in new]
+            assert list(rank) == [sum(o < s for o in old) for s in new]
+            fresh, third = level(b, old)
+            if fresh:
+                both = first.merge(third, length)
+                assert [bytes(both.text[p : p + length]) for p in both.places] == sorted(old + fresh)
+                assert list(both.key) == [int.from_bytes(s[:8], "big") for s in sorted(old + fresh)]
+
+
+def test_contexts_of_equal_hashes_are_compared():
+    raw = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    same = np.zeros(3, np.uint64)
+    part = (same, same, same, np.arange(3), np.arange(3), np.zeros(3, np.int64), np.ones(3, np.int64), np.zeros(3, np.int64), raw, np.array([0, 100, 200]))
+    (out,) = suffix_dedup._settle([part], 100)
+    assert sorted((r[ID], r["context"]) for r in out.to_pylist() if r["context"]) == [(0, b"a" * 100), (1, b"b" * 100)]
+    assert [r[ID] for r in out.to_pylist() if r["context"] is None] == [2]
+
+
 def test_suffix_family_levels():
     rng = np.random.default_rng(0)
     family, seen = suffix_dedup.SuffixFamily(8), set()
@@ -211,7 +261,7 @@ def test_suffix_family_levels():
             if s not in seen:
                 assert first[k] == here.setdefault(s, k)
         seen |= set(here)
-        assert sum(len(x[0]) for x in family.levels) == len(seen)
+        assert sum(len(level.places) for level in family.levels) == len(seen)
     assert len(family.levels) <= 9
 
 
