@@ -536,6 +536,42 @@ def test_pipeline_filters_as_its_operators_do(spark):
     assert got == Counter({k: v for k, v in copies.items() if v})
 
 
+@pytest.mark.parametrize("hostile", [True, False])
+def test_pipeline_of_hostile_and_empty_tables(spark, docs, empty, tmp_path, hostile):
+    import corpus_pipeline
+
+    items = [(1, " ".join(fixture_rows()[12][1].split(" ")[700:715])), (2, None), (3, "--")] if hostile else []
+    (docs if hostile else empty).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, seen = before.columns, {}
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, before, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        given, got = Counter(map(tuple, before.collect())), Counter(map(tuple, out.collect()))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+            # filters keep rows as they are, the mix at most two of each
+            assert all(n <= given[r] * (2 if name == "mixing" else 1) for r, n in got.items())
+        else:
+            assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter(r[columns.index("doc_id")] for r in given.elements())
+        seen[name], before = got, out
+    if not hostile:
+        assert not any(seen.values())
+        return
+    rows = {name: [r[:2] for r in found.elements()] for name, found in seen.items()}
+    # what fails the base rules is gone, and of the whole texts given four times and more one stays
+    few = {r[0] for r in fixture_rows() if len((r[1] or "").split()) < 20}
+    assert not few & {i for i, _ in rows["quality_rules"]}
+    base = fixture_rows()[0][1]
+    assert [t for _, t in rows["quality_rules"]].count(base) == 4
+    assert [t for _, t in rows["simhash_near_dedup"]].count(base) == 1
+    # the benchmark passage lies far inside one long text
+    assert [i for i, _ in rows["simhash_near_dedup"]].count(24) == 1
+    assert 24 not in {i for i, _ in rows["decontamination"]}
+
+
 def test_licences_finds_every_notice_of_a_file(spark):
     notice = {label: n for label, (n, _) in licences.TEMPLATES.items()}
     texts = [notice["mit"] + " filler " + notice["apache-2.0"], notice["bsd"] + " x " + notice["gpl-3.0"], "mozilla domain creative universal redistribution " + notice["gpl-3.0"], " and ".join(n for n in notice.values())]
