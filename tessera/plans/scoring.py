@@ -27,7 +27,7 @@ class Scored:
 TUNED_EXCLUDES = ("knn_lag96_mean", "knn_lag96_std")
 
 
-def train_score(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("boosted", "forest", "linear"), fcfg: FeatureConfig = FeatureConfig(), pcfg: PostConfig = PostConfig(), rounds: int = 10, rules: bool = True, exclude: tuple[str, ...] = ()) -> Scored:
+def train_score(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("boosted", "forest", "linear"), fcfg: FeatureConfig = FeatureConfig(), pcfg: PostConfig = PostConfig(), rounds: int = models.ROUNDS, rules: bool = True, exclude: tuple[str, ...] = ()) -> Scored:
     """Learners validated on one later day, blended exactly, refitted on all of train, and corrected."""
     model = features.fit(train, fcfg)
     data = model.transform_train().withColumn("_w", E.sample_weight()).persist()
