@@ -712,3 +712,42 @@ def test_warc_salvages_inside_members():
     found = list(warc.salvage(cut[: len(cut) // 2]))
     assert ids(found) == ["<urn:page:0>", "<urn:page:1>"]
     assert [x[:2] for x in found if x[2] is None] == [(0, len(cut) // 2)]
+
+
+def test_wide_simhash_links_connect_what_brute_force_connects():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 4, 5, 9, 12, 40, 300):
+        for _ in range(12):
+            base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            sets += [base, base[: -max(1, size // 6)], np.unique(np.r_[base[1:], rng.integers(0, 2**63, 1).astype(np.uint64)])]
+    sets = sorted((s for s in sets if len(s)), key=len)
+    n, lanes = np.array([len(s) for s in sets], np.int32), np.stack([simhash.wide(s) for s in sets]).T
+    jaccards = {(x, y): len(c) / (n[x] + n[y] - len(c)) for x in range(len(sets)) for y in range(x) for c in [np.intersect1d(sets[x], sets[y])]}
+    alike = [k for k, j in jaccards.items() if 0.8 <= j < 1]
+    assert len(alike) > 50 and max(int(np.bitwise_count(lanes[:, x] ^ lanes[:, y]).sum()) for x, y in alike) <= simhash.reach(0.8, 1, 256)
+
+    def labels(links):
+        label = np.arange(len(sets))
+        for x, y in links:
+            label[label == label[x]] = label[y]
+        return label
+
+    got = [(x, y) for a, b in simhash.wide_links(n, lanes, n, lanes, True, 0.8) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    label = labels(got)
+    assert all(label[x] == label[y] for x, y in alike) and len(got) < len(sets)
+    # links are pairs within the radius, and a tile cut in two finds the same
+    assert all(int(np.bitwise_count(lanes[:, x] ^ lanes[:, y]).sum()) <= simhash.reach(0.8, 1, 256) for x, y in got)
+    half = len(sets) // 2
+    cut = [(x, y + half) for a, b in simhash.wide_links(n[:half], lanes[:, :half], n[half:], lanes[:, half:], False, 0.8) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    label = labels(cut)
+    assert all(label[x] == label[y] for x, y in alike if y < half <= x)
+
+
+def test_near_dedup_takes_its_links_from_simhash(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["end"])), (3, " ".join(words))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.near_dedup(docs).collect()] == [1]
+    found = simhash.wide_pairs
+    monkeypatch.setattr(simhash, "wide_pairs", lambda *a, **k: found(*a, **k).limit(0))
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [1, 2]
